@@ -1,8 +1,9 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import exact_dedup
+from . import exact_dedup, simhash_dedup
 
 QUERIES = {
+    "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLES = {
