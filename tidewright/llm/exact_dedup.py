@@ -3,10 +3,9 @@
 A Structured Streaming aggregation keeps, without expiry and in RocksDB, one
 state row for each SHA-256 digest: how many rows had it, the largest document
 id, and where that document's content lies (file and row).  Full bytes are
-then compared for every digest: of each digest's texts the least and the
-greatest must be the same bytes, which partial aggregation finds without
-gathering a group.  Digests that differ (a collision) are grouped by the text
-itself instead.  Everything runs as DataFrame operations.
+then compared for every digest: grouping by digest and text, copies merge
+before the shuffle, and a digest left with two texts (a collision) is grouped
+by the text itself instead.  Everything runs as DataFrame operations.
 
 Defined results: null text counts as empty; empty texts are equal to each
 other; of repeated (id, text) rows all are returned, counted in group_size,
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_at_exit, shared_dir, table
+from .common import remove_at_exit, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -84,12 +83,15 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     """
     state = stream_state(spark, path, id_col, text_col, digest_bits, files_per_trigger)
     docs = _digests(spark.read.parquet(path), id_col, text_col, digest_bits)
-    bytes_differ = docs.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest")
-    plain = docs.select("doc_id", "sha", "digest").join(bytes_differ, "digest", "left_anti").join(state, "digest")
-    odd = docs.join(bytes_differ, "digest", "left_semi")
+    differ = stored(docs.groupBy("digest", "text").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
+    out = [F.col("doc_id"), F.col("keep_id"), F.col("n").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("locator")]
+    plain = docs.select("doc_id", "sha", "digest").join(state, "digest")
+    if differ.isEmpty():
+        return plain.select(*out)
+    plain = plain.join(differ, "digest", "left_anti")
+    odd = docs.join(differ, "digest", "left_semi")
     groups = odd.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.lit(None).cast("string").alias("locator"))
     split = odd.join(groups, ["digest", "text"])
-    out = [F.col("doc_id"), F.col("keep_id"), F.col("n").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("locator")]
     return plain.select(*out).union(split.select(*out))
 
 
