@@ -1,8 +1,9 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import exact_dedup, packing, simhash_dedup
+from . import exact_dedup, packing, pii, simhash_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op7_packing": packing.op7_packing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
