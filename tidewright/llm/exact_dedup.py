@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import remove_at_exit, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream runs; without fallocate a store takes the disk that it fills.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
@@ -57,13 +58,15 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/state/batch={number}")
 
-    held = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    held = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, held) if held else spark.conf.unset(PROVIDER)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = "digest string, n long, at struct<doc_id:long,file:string,row:long>"
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{home}/state")
