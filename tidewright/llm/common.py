@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Key shards given to a side that may be hot when it is dealt by its group.
 HOT_SHARDS = 256
+#: Measured size up to which a side is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,14 +108,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, how: str = "left", spread: str = "text", shards: int = HOT_SHARDS) -> DataFrame:
-    """``rows`` joined to one small row of ``groups`` for each ``key``, when a key may hold a third of all rows.
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spread: str, most: int = BROADCAST_BYTES, shards: int = HOT_SHARDS) -> DataFrame:
+    """``rows`` left-joined to the row of ``groups`` for their ``key``, when a key may hold a third of all rows.
 
-    ``groups`` is repeated over ``shards`` numbered copies and rows take one by
-    a hash of ``spread``, so that a hot key goes to many tasks whatever the
-    join strategy.  Spark broadcasts ``groups`` only where its measured size
-    is below spark.sql.autoBroadcastJoinThreshold.  Null keys meet null keys.
+    ``groups`` should be stored: its size is measured.  Up to ``most`` bytes it
+    is broadcast.  Beyond, it is repeated over ``shards`` numbered copies and
+    rows take one by a hash of ``spread``, so that a hot key goes to many
+    tasks.  Null keys meet null keys.
     """
-    copies = groups.withColumnRenamed(key, "__key").withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    small = groups.withColumnRenamed(key, "__key")
+    size = groups.agg(F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()[0] or 0
+    if size <= most:
+        return rows.join(F.broadcast(small), rows[key].eqNullSafe(F.col("__key")), "left").drop("__key")
+    copies = small.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     left = rows.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(shards)).cast("int"))
-    return left.join(copies, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__s") == F.col("__shard")), how).drop("__s", "__key", "__shard")
+    return left.join(copies.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__shard")), "left").drop("__s", "__key", "__shard")

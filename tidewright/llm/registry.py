@@ -1,13 +1,19 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import exact_dedup, packing, pii, simhash_dedup
+from . import exact_dedup, langid, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
-    "op7_packing": packing.op7_packing,
+    "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_langid": langid.op6_langid,
+    "op7_packing": packing.op7_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op4_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
