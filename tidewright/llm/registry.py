@@ -1,9 +1,11 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
+from . import embedding_dedup, exact_dedup, langid, line_dedup, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_langid": langid.op6_langid,
