@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, table
+from .common import Stored, connected_components, stored, table
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 BLOCK = 100_000
@@ -111,3 +111,97 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: st
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Of a text's distinct shingle hashes: two-value bands of minima, and how many least ones are kept to compare.
+BANDS, LOWEST, PAIR_UP = 16, 192, 16
+
+
+def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, same, n, bands, low): fingerprint, name and size of the set of distinct shingles, band keys, least hashes."""
+    bands, lowest = BANDS, LOWEST
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        h64 = xxhash.xxh64_intdigest
+        place = np.arange(8, dtype=np.int64) * 256
+        bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+        weights = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
+        turns = np.random.default_rng(5).integers(1, 1 << 63, (2 * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+        def one(text):
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            if not words:
+                return 0, 0, 0, [], []
+            joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            ends = np.cumsum(size)
+            starts, stops = (ends - size)[:n].tolist(), (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
+            h = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+            votes = np.bincount((h.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048).reshape(8, 256) @ bits
+            fp = int(weights[votes.ravel() * 2 > n].sum(dtype=np.uint64).astype(np.int64))
+            own = np.unique(h)
+            least = np.full(2 * bands, np.uint64(0xFFFFFFFFFFFFFFFF))
+            for a in range(0, len(own), 20_000):
+                x = own[a : a + 20_000]
+                mixed = (x ^ (x >> np.uint64(31))) * turns
+                least = np.minimum(least, (mixed ^ (mixed >> np.uint64(33))).min(1))
+            keys = (least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]).view(np.int64)
+            return fp, xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, len(own), keys.tolist(), own[:lowest].view(np.int64).tolist()
+
+        for b in batches:
+            rows = list(zip(*(one(t.as_py()) for t in b.column(1)))) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(rows, kinds))], ["id", "fp", "same", "n", "bands", "low"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, same long, n long, bands array<long>, low array<long>")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """``docs`` with one document (the least id) of each group linked at a Jaccard similarity of ``similarity`` or more.
+
+    Pairs at 0.8 differ in some 10 of a SimHash's 64 bits, and a covering of
+    radius 10 has 2047 tables.  So the covering tables (of ``radius`` bits)
+    give candidates together with bands of two minima of the shingle hashes
+    (16 bands: a pair at 0.8 shares one but for one in ten million).  Buckets
+    of up to PAIR_UP documents are paired up; larger ones link to the member of
+    least hash, another in every band.  All candidates are verified on their
+    shingle sets: exactly up to LOWEST distinct shingles, beyond that by the
+    LOWEST least hashes of the union.  Equal sets are merged first.  Texts
+    without words are copies of each other; rows with equal ids stay or go
+    together.
+    """
+    made = Stored(sketches(docs, shingle, id_col, text_col))
+    sk = made.df
+    class_of = sk.groupBy("same", "n").agg(F.min("id").alias("rep"))
+    reps = sk.join(class_of, ["same", "n"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "fp", "n", "bands", "low")
+    reps = stored(reps)
+    masks = [F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)]
+    keys = F.concat(F.col("bands"), F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(masks)]))
+    dealt = reps.where("n > 0").select("rep", F.posexplode(keys).alias("band", "key")).withColumn("order", F.xxhash64("rep", "band"))
+    buckets = dealt.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(F.struct("order", "rep"))["rep"].alias("centre")).where("members > 1")
+    met = dealt.join(buckets, ["band", "key"]).select("band", "key", "rep", "members", "centre")
+    stars = met.where("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+    few = met.where(F.col("members").between(3, PAIR_UP)).groupBy("band", "key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
+    two = few.select("all", F.explode("all").alias("v")).select("v", F.explode(F.filter("all", lambda x: x > F.col("v"))).alias("u"))
+    pairs = stars.union(two.select("u", "v")).distinct()
+    sets = reps.select("rep", "n", "low")
+    left = pairs.join(sets.hint("merge"), F.col("u") == F.col("rep")).select("v", "u", F.col("n").alias("n_u"), F.col("low").alias("low_u"))
+    both = left.join(sets.hint("merge"), F.col("v") == F.col("rep"))
+    common = F.array_intersect("low_u", "low")
+    union = F.slice(F.array_sort(F.transform(F.array_union("low_u", "low"), lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))), 1, LOWEST)
+    shared = F.size(F.array_intersect(union, F.transform(common, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))))
+    exact = F.size(common) / (F.col("n_u") + F.col("n") - F.size(common))
+    close = F.when(F.greatest("n_u", "n") <= LOWEST, exact).otherwise(shared / F.size(union))
+    possible = F.least("n_u", "n") >= F.greatest("n_u", "n") * (similarity - 1e-9)
+    edges = both.where(possible & (close >= similarity - 1e-12)).select("u", "v")
+    comps = connected_components(edges)
+    lost_reps = comps.where("node <> component").select(F.col("node").alias("rep"))
+    classes = sk.select("id", "same", "n").join(class_of, ["same", "n"])
+    lost = classes.where("id <> rep").select("id").union(classes.join(lost_reps, "rep", "left_semi").select("id")).distinct()
+    lost = stored(lost)
+    made.drop()
+    return docs.join(lost, docs[id_col] == lost["id"], "left_anti")
