@@ -1,0 +1,7 @@
+"""Streams.  Processors are pickled by value, so Python workers need not have the package on their path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
