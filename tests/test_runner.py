@@ -27,7 +27,7 @@ def test_streaming_run(spark, tmp_path):
 
 
 def test_memory_limit_makes_chunks_smaller_and_keeps_every_row(spark):
-    got = PipelineRunner(spark, PipelineConfig(chunk_size=600, max_memory_mb=1, max_chunk_retries=1)).run_streaming(records(spark, 50))
+    got = PipelineRunner(spark, PipelineConfig(chunk_size=300, max_memory_mb=1, max_chunk_retries=1)).run_streaming(records(spark, 50))
     assert got["rows"] == 50 and got["chunk_metrics"][0]["memory_exceeded"] and got["chunk_metrics"][1]["retries"] <= 1
 
 
