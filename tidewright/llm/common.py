@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Key shards given to a side that may be hot when it is dealt by its group.
@@ -123,3 +124,20 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spread: str, mos
     copies = small.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     left = rows.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(shards)).cast("int"))
     return left.join(copies.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__shard")), "left").drop("__s", "__key", "__shard")
+
+
+def hashed_sample(rows: DataFrame, key: str, by: str, k: int) -> DataFrame:
+    """At most ``k`` rows for each value of ``by`` (labels: few), those of least hash of ``key``, numbered from 1 in __k.
+
+    Counts come first, so that little more than ``k`` rows of a group, however
+    large it is, meet in its task.
+    """
+    whole = 1 << 30
+    place = F.pmod(F.xxhash64(key), F.lit(whole))
+    bound = F.lit(0)
+    for r in rows.groupBy(by).agg(F.count("*").alias("__n")).collect():
+        share = min(1.0, (k + 8 * k**0.5 + 64) / r["__n"])
+        bound = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.lit(int(share * whole))).otherwise(bound)
+    order = W.partitionBy(by).orderBy("__place", key)
+    near = rows.withColumn("__place", place).where(F.col("__place") < bound)
+    return near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__place")

@@ -20,10 +20,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 RUN, HIDDEN = 24, 12
 DOCS_PER_LANG, RUNS_PER_LANG = 150, 12_000
@@ -152,9 +151,8 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], dict | None]:
 
 def training_rows(docs: DataFrame, keep, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
     """Ids are chosen first, then only their texts are fetched."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull() & keep(F.col("doc_id"))).select("doc_id", "lang")
-    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("doc_id", "lang").distinct()
+    ids = hashed_sample(ids, "doc_id", "lang", docs_per_lang).select("doc_id", "lang").distinct()
     return [(r["text"], r["lang"]) for r in docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("text", "lang").collect()]
 
 

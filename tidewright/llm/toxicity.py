@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 SIZES, BUCKET_BITS = (4, 5, 6), 22
 MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 16_000_000
@@ -90,8 +90,7 @@ def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
 def training_rows(docs: DataFrame, labels: DataFrame, train, max_train: int, max_bytes: int) -> list:
     """(text, label) of at most ``max_train`` texts for each label and ``max_bytes`` in all."""
     own = labels.where(F.col("toxic").isin(0, 1) & train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_train)
+    own = hashed_sample(own, "doc_id", "toxic", max_train).withColumnRenamed("__k", "k")
     found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").where(F.octet_length("text") > 0)
     fair = W.orderBy("k", "toxic").rowsBetween(W.unboundedPreceding, 0)  # at most 2 max_train rows
     sizes = found.select("doc_id", "toxic", "k", F.octet_length("text").alias("bytes")).withColumn("total", F.sum("bytes").over(fair)).where(F.col("total") <= max_bytes)
