@@ -188,3 +188,11 @@ def test_sources(spark, tmp_path):
     assert [c.count() for c in readers.stream_chunks(spark.range(10), 4, ["id"])] == [4, 4, 2]
     nan = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     assert readers.nan_to_null(nan).where("x IS NULL").count() == 1
+
+
+def test_correlations_over_complete_pairs(spark):
+    rows = [(1.0, 2.0, None, 5.0), (2.0, None, 1.0, 5.0), (3.0, 5.0, 4.0, 5.0), (4.0, 7.0, None, 5.0), (6.0, 8.0, 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    want = df.toPandas().corr().fillna(0.0)
+    for (x, y), r in engineering.correlations(df, ["a", "b", "c", "k"]).items():
+        assert math.isclose(r, want.loc[x, y], abs_tol=1e-12)

@@ -12,6 +12,7 @@ from tidewright.operators.cleaning import clean_records
 from tidewright.operators.ordered import over_last_rows, with_ordinal
 from tidewright.schema import ROW_ID, numeric_columns, quoted, text_columns
 from tidewright.sources.readers import with_chunks
+from tidewright.storage import stored
 
 TARGET = "salary"
 RAW_ONLY = ("version", "b_day", "draft_year", "weight", "height")
@@ -65,6 +66,11 @@ def build_features(df: DataFrame, rolling_window: int = 5) -> DataFrame:
     return zscore_anomaly(rolled.drop("_input_id"), TARGET)
 
 
+def prepare(cleaned: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Features of a cleaned table, pruned and encoded; the features are stored once for all the statistics on them."""
+    return encode_and_scale(drop_collinear(stored(build_features(cleaned)), threshold=threshold))
+
+
 def build_features_chunked(df: DataFrame, chunk_size: int, rolling_window: int = 5) -> DataFrame:
     """The streaming form over a table: years are ordered inside chunks, the window runs on across chunks, anomalies are a chunk's own."""
     chunked = calendar_features(with_chunks(df, chunk_size)).withColumnRenamed(ROW_ID, "_input_id")
@@ -109,25 +115,43 @@ def varying_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for k, c in enumerate(columns) if got[f"v{k}"]]
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over complete pairs; 0 where a side is constant or empty."""
-    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
-
-
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """All pairs in one aggregation of p (p-1) / 2 numbers."""
+    """Pearson correlation of every pair over its complete rows; 0 where a side is constant or empty.
+
+    Two passes: means and null counts, then sums of products about the means.
+    A column without nulls needs one sum of squares for all its pairs.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return {}
-    got = df.agg(*[safe_corr(F.col(quoted(a)), F.col(quoted(b))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
-    return {p: got[f"r{k}"] for k, p in enumerate(pairs)}
+    cols = {c: F.col(quoted(c)).cast("double") for c in columns}
+    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{k}") for k, v in enumerate(cols.values())], *[F.count(v).alias(f"n{k}") for k, v in enumerate(cols.values())]).first()
+    whole = {c for k, c in enumerate(columns) if got[f"n{k}"] == got["n"]}
+    centred = {c: v - F.lit(got[f"m{k}"]).cast("double") for k, (c, v) in enumerate(cols.items())}
+    sums = {("s", c): F.sum(centred[c] * centred[c]) for c in columns if c in whole}
+    for a, b in pairs:
+        x, y = centred[a], centred[b]
+        sums["xy", a, b] = F.sum(x * y)
+        if not {a, b} <= whole:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            sums |= {("n", a, b): F.count(x * y), ("x", a, b): F.sum(x), ("y", a, b): F.sum(y), ("xx", a, b): F.sum(x * x), ("yy", a, b): F.sum(y * y)}
+    values = dict(zip(sums, df.agg(*[e.alias(f"e{k}") for k, e in enumerate(sums.values())]).first()))
+    out = {}
+    for a, b in pairs:
+        xy = values["xy", a, b] or 0.0
+        if {a, b} <= whole:
+            xx, yy = values["s", a] or 0.0, values["s", b] or 0.0
+        else:
+            n, x, y = values["n", a, b], values["x", a, b] or 0.0, values["y", a, b] or 0.0
+            xy, xx, yy = (xy - x * y / n, values["xx", a, b] - x * x / n, values["yy", a, b] - y * y / n) if n else (0.0, 0.0, 0.0)
+        out[a, b] = xy / (xx * yy) ** 0.5 if xx > 0 and yy > 0 else 0.0
+    return out
 
 
 def collinear_columns(df: DataFrame, target: str = TARGET, threshold: float = 0.5, skip_constant: bool = True) -> list[str]:
     """Columns to drop, in order: of the closest pair beyond ``threshold`` the one less correlated with the target.
 
-    A pair's correlation doesn't depend on other columns, so one job serves all rounds.
+    A pair's correlation doesn't depend on other columns, so its sums serve all rounds.
     """
     numeric = [c for c in numeric_columns(df) if c != target]
     if skip_constant:
@@ -172,7 +196,7 @@ class Encoding:
 
 
 def fit_encoding(df: DataFrame, numeric: list[str], text: list[str]) -> Encoding:
-    """Two aggregations for numbers (median; then mean and deviation after filling), one for each text column's categories."""
+    """Two aggregations for numbers (median; then mean and deviation after filling), one for all categories of text."""
     medians: dict = {}
     means: dict = {}
     stds: dict = {}
@@ -183,8 +207,13 @@ def fit_encoding(df: DataFrame, numeric: list[str], text: list[str]) -> Encoding
         got = df.agg(*[F.avg(v).alias(f"a{k}") for k, v in enumerate(filled.values())], *[F.stddev_pop(v).alias(f"s{k}") for k, v in enumerate(filled.values())]).first()
         means = {c: got[f"a{k}"] for k, c in enumerate(numeric)}
         stds = {c: got[f"s{k}"] or 1.0 for k, c in enumerate(numeric)}
-    placed = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    categories = {c: [r["v"] for r in placed.groupBy(F.coalesce(F.col(quoted(c)), F.lit(f"Unknown_{c}")).alias("v")).agg(F.min(ROW_ID).alias("at")).orderBy("at").collect()] for c in text}
+    categories: dict[str, list[str]] = {c: [] for c in text}
+    if text:
+        placed = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        values = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(quoted(c)), F.lit(f"Unknown_{c}")).alias("v")) for c in text])
+        seen = placed.select(ROW_ID, F.explode(values).alias("x")).groupBy("x.c", "x.v").agg(F.min(ROW_ID).alias("at"))
+        for r in seen.orderBy("at", "c").collect():
+            categories[r["c"]].append(r["v"])
     return Encoding(medians, means, stds, categories)
 
 

@@ -335,8 +335,7 @@ def encode_and_scale(spark, sf_dir):
 def process_records(spark, sf_dir):
     """The whole preparation over raw records: clean, features, pruning, encoding."""
     placed = with_ordinal(raw_records(spark, sf_dir), ["record_id"]).drop("record_id")
-    built = engineering.build_features(cleaning.clean(placed))
-    return engineering.encode_and_scale(engineering.drop_collinear(built))
+    return engineering.prepare(cleaning.clean(placed))
 
 
 @query()

@@ -28,7 +28,7 @@ STAGES = ("preprocess_s", "feature_engineering_s", "feature_selection_s", "encod
 
 def process(df: DataFrame) -> DataFrame:
     """clean, derive, prune, encode: _row_id, features and salary."""
-    return engineering.encode_and_scale(engineering.drop_collinear(engineering.build_features(cleaning.clean(df))))
+    return engineering.prepare(cleaning.clean(df))
 
 
 def feature_names(encoded: DataFrame) -> list[str]:
