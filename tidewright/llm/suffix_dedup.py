@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Stored, table
 
-LENGTH, K, PIECE, CHUNK = 100, 32, 1 << 20, 4 << 20
+LENGTH, K, PIECE, CHUNK = 100, 32, 1 << 19, 1 << 20
 #: Columns of both rounds: kind 0 is a pair to sort, kind 1 a removed stretch (doc, at = start << 32 | size).
 ROWS = "kind int, a long, b long, doc long, at long"
 
@@ -51,8 +51,13 @@ def _sample(length: int):
 
         h64 = xxhash.xxh3_64_intdigest
         odd, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-        up = np.cumprod(np.concatenate([[1], np.full(chunk + piece + 2 * length, odd, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[1], np.full(chunk + piece + 2 * length, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+
+        def powers(x: int):
+            out = np.full(chunk + piece + 2 * length, x, np.uint64)
+            out[0] = 1
+            return np.cumprod(out, dtype=np.uint64)
+
+        up, down = powers(odd), powers(inverse)
         wide = length - k + 1
 
         def ranked(parts):
@@ -205,7 +210,7 @@ def _windows(length: int):
                 b = np.array([h64(data[s + half : s + length]) for s in spots], np.uint64).view(np.int64)
                 found.append((a, b, np.full(len(spots), doc, np.int64), np.array(spots, np.int64)))
                 held += len(spots)
-                if held > 1_000_000:
+                if held > 300_000:
                     yield given(found)
                     found, held = [], 0
             if found:
