@@ -176,3 +176,15 @@ def test_cuts_against_all_choices():
         price = [rng.choice([0.0, 1.0, 3.0]) for _ in places]
         best = min(cost([0, *[k for k in range(1, len(places) - 1) if m >> k & 1], len(places) - 1], places, price) for m in range(1 << len(places)))
         assert cost(packing.best_cuts(places, price, length), places, price) == best
+
+
+def test_both_encoders_agree(vocabulary, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["it's  two", "a b\nc. d", None, "", "日本語 Ünï x1 ", "<|endoftext|> end", " .  x", "don't\t\n stop!"])
+    flags, encode = packing.tokenizer(vocabulary)
+    fast = [x.tolist() for x in encode(texts)]
+    monkeypatch.setattr(packing, "merger", lambda path: None)
+    slow_flags, slow = packing.tokenizer(vocabulary)
+    assert fast == [x.tolist() for x in slow(texts)]
+    assert flags[13] and (flags[:50256] != slow_flags[:50256]).sum() < 50

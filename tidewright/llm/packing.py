@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def merger(path: str):
-    """text -> ids by a faster merge of the same vocabulary file, or None where that can't be the same.
+    """(text -> ids by a faster merge of the same vocabulary file, bytes of each id), or None where that can't be the same.
 
     It can where the file is a byte-level BPE with the usual pattern, no prefix
     space or other steps, and ids in the order of its merges.
@@ -63,7 +63,7 @@ def merger(path: str):
     made = [model["vocab"].get(x + y) for x, y in merges]
     if len(ranks) != 256 + len(merges) or made != list(range(256, 256 + len(merges))):
         return None
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {i: t for t, i in ranks.items()}
 
 
 def tokenizer(path: str):
@@ -84,23 +84,20 @@ def tokenizer(path: str):
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
-    tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
-    merge = merger(path)
-    known: dict[str, list] = {}
+    found = merger(path)
+    merge, shown = found or (None, None)
+    if found is None:
+        tk = Tokenizer.from_file(path)
+        tk.encode_special_tokens = True
+        shown = {i: tk.decode([i], skip_special_tokens=False).encode() for i in range(tk.get_vocab_size())}
+    ends_sentence = np.zeros(max(shown) + 2, bool)
+    for i, t in shown.items():
+        ends_sentence[i] = t.rstrip(b"\"')").endswith((b".", b"!", b"?", b"\n", "。".encode()))
 
     def pieces(words: list[str]) -> list:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > 1_000_000:
-            known.clear()
-            new = words
         if merge is not None:
-            known.update(zip(new, map(merge, new)))
-        else:
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                known.update(zip(part, (e.ids for e in tk.encode_batch_fast(part, add_special_tokens=False))))
-        return list(map(known.__getitem__, words))
+            return list(map(merge, words))
+        return [e.ids for at in range(0, len(words), 4096) for e in tk.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
 
     def encode(texts: pa.Array) -> list[np.ndarray]:
         """int32 ids of each text, without an end id."""
@@ -124,14 +121,17 @@ def tokenizer(path: str):
         which = index.astype(np.int64) + np.where(first, 0, len(words))
         n = size[which]
         ends = np.cumsum(n)
-        stream = pool[np.repeat(at[which] - (ends - n), n) + np.arange(int(n.sum()))]
+        spot = np.repeat((at[which] - (ends - n)).astype(np.int32), n)
+        spot += np.arange(len(spot), dtype=np.int32)
+        stream = pool[spot]
+        del spot, which, n, flat, coded, index
         cuts = np.concatenate([[0], ends])[bounds]
         out = [stream[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            out[k] = np.array(tk.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int32)
+            out[k] = np.array(pieces([texts[k].as_py()])[0], np.int32)
         return out
 
-    return tk, encode
+    return ends_sentence, encode
 
 
 def best_cuts(places, penalties, length: int = LENGTH) -> list[int]:
@@ -179,8 +179,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        tk, encode = tokens(vocabulary)
-        ends_sentence = np.array([bool((t := tk.decode([i], skip_special_tokens=False)) and t.rstrip("\"')")[-1:] in (".", "!", "?", "\n", "。")) for i in range(tk.get_vocab_size())])
+        ends_sentence, encode = tokens(vocabulary)
         sequence = TaskContext.get().partitionId() << 32
         names = [f.split()[0] for f in schema.split(", ")]
         held: list[tuple] = []  # (doc_id, all ids, ids before this rest, rest)
@@ -240,7 +239,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 8_000_000, side="right")))
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 5_000_000, side="right")))
                 yield batch.slice(a, b - a)
                 a = b
 
