@@ -13,9 +13,11 @@ pick equal places, so
    these pairs, and unique first names leave;
 2. of equal pairs all but the first occurrence go as a whole (their windows
    all start earlier, too); a first name with one second name needs no more;
-3. for the rest, every window of the first occurrences gets the rank pair of
-   its first 64 bytes and of the bytes from there to ``length``; Spark sorts
-   the pairs, and all but the first of each go.
+3. the windows of the other first occurrences go through the same round with
+   prefixes of four fifths of ``length``;
+4. every window that is still left gets the rank pair of its first 64 bytes
+   and of the bytes from there to ``length``; Spark sorts the pairs, and all
+   but the first of each go.
 
 Names are 64-bit fingerprints rather than dense ranks, so that a round needs
 one sort and no counting pass.  Before each shuffle a task keeps the first of
@@ -40,9 +42,12 @@ LENGTH, K, PIECE, CHUNK = 100, 32, 1 << 19, 1 << 20
 ROWS = "kind int, a long, b long, doc long, at long"
 
 
-def _sample(length: int):
-    """Function for mapInArrow over (doc, text): rows of the first round; b is the stretch, at = start << 32 | windows."""
-    k, piece, chunk = K, PIECE, CHUNK
+def _sample(length: int, k: int = K, listed: bool = False):
+    """Function for mapInArrow over (doc, text): rows of a round; b is the stretch, at = start << 32 | windows.
+
+    ``listed``: over (doc, text, ats), the windows of the listed stretches only.
+    """
+    piece, chunk = PIECE, CHUNK
 
     def run(batches):
         import numpy as np
@@ -107,16 +112,24 @@ def _sample(length: int):
             lead = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
             again = (doc != doc[lead]) | (start != start[lead])
             stretch = np.where(again, windows + (length - 1), windows)
+            if listed:
+                with np.errstate(over="ignore"):  # marked already: any partition will do
+                    a = np.where(again, (doc * 1_000_003 + start) * 0x9E3779B97F4A7C1, a)
             return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int32)), pa.array(a), pa.array(b), pa.array(doc), pa.array(start << 32 | stretch)], ["kind", "a", "b", "doc", "at"])
 
         for batch in batches:
             parts, held, found = [], 0, []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            stretches = batch.column(2) if listed else [None] * batch.num_rows
+            for doc, text, ats in zip(batch.column(0).to_pylist(), batch.column(1), stretches):
                 text = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if doc is None or len(text) < length:
                     continue
-                for s in range(0, len(text) - length + 1, piece):
-                    part = text[s : s + piece + length - 1]
+                if listed:
+                    pieces = [(at >> 32, at & 0xFFFFFFFF) for at in ats.as_py()]
+                else:
+                    pieces = [(s, min(piece, len(text) - length + 1 - s)) for s in range(0, len(text) - length + 1, piece)]
+                for s, windows in pieces:
+                    part = text[s : s + windows + length - 1]
                     parts.append((doc, s, part))
                     held += len(part)
                     if held >= chunk:
@@ -131,7 +144,7 @@ def _sample(length: int):
 
 
 def _first_round(length: int):
-    """Over rows sorted by (a, b, doc, at): removed stretches (kind 1), and first occurrences whose windows need round two (kind 0)."""
+    """Over rows sorted by (a, b, doc, at): removed stretches (kind 1), and first occurrences that need a further round (kind 0)."""
 
     def run(batches):
         import numpy as np
@@ -141,9 +154,14 @@ def _first_round(length: int):
         last = None  # of the pair before: a, b, doc, start, windows, whether given as needing more
 
         for batch in batches:
-            a, b, doc, at = (batch.column(i).to_numpy() for i in range(1, 5))
+            kind, a, b, doc, at = (batch.column(i).to_numpy() for i in range(5))
+            done = kind == 1
+            out = [(1, doc[done], at[done])]
+            a, b, doc, at = (x[~done] for x in (a, b, doc, at))
             n = len(a)
             if not n:
+                zero = np.zeros(len(out[0][1]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(zero), pa.array(zero), pa.array(out[0][1]), pa.array(out[0][2])], names)
                 continue
             start, windows = at >> 32, at & 0xFFFFFFFF
             head = np.ones(n, bool)
@@ -161,7 +179,7 @@ def _first_round(length: int):
             same = fa[1:] == fa[:-1]
             multi[1:] |= same
             multi[:-1] |= same
-            out = [(1, doc[again], start[again] << 32 | (windows[again] + length - 1))]
+            out.append((1, doc[again], start[again] << 32 | (windows[again] + length - 1)))
             if len(f):
                 if last is not None and last[0] == fa[0]:
                     multi[0] = True
@@ -290,15 +308,19 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     pairs = sample.df.where("kind = 0").repartition("a").sortWithinPartitions("a", "b", "doc", "at")
     first = Stored(pairs.mapInArrow(_first_round(length), ROWS).select("kind", "doc", "at").union(sample.df.where("kind = 1").select("kind", "doc", "at")))
     sample.drop()
-    by_doc = rows.repartition("doc")  # one shuffle of the texts, read by both joins
-    listed = first.df.where("kind = 0").groupBy("doc").agg(F.collect_list("at").alias("ats")).withColumnRenamed("doc", "d")
-    wanted = by_doc.join(listed.hint("merge"), F.col("doc") == F.col("d")).select("doc", "text", "ats")
-    windows = wanted.mapInArrow(_windows(length), ROWS)
+    by_doc = rows.repartition("doc")  # one shuffle of the texts, read by all joins
+
+    def with_stretches(found: DataFrame, how: str = "inner") -> DataFrame:
+        lists = found.groupBy("doc").agg(F.collect_list("at").alias("ats")).withColumnRenamed("doc", "d")
+        return by_doc.join(lists.hint("merge"), F.col("doc") == F.col("d"), how).select("doc", "text", "ats")
+
+    longer = with_stretches(first.df.where("kind = 0")).mapInArrow(_sample(length, length * 4 // 5, listed=True), ROWS)
+    longer = longer.repartition("a").sortWithinPartitions("a", "b", "doc", "at").mapInArrow(_first_round(length), ROWS)
+    windows = with_stretches(longer.where("kind = 0")).mapInArrow(_windows(length), ROWS)
     second = windows.repartition("a", "b").sortWithinPartitions("a", "b", "doc", "at").mapInArrow(_second_round(), ROWS)
-    gone = first.df.where("kind = 1").select("doc", "at").union(second.select("doc", "at"))
-    gone = gone.groupBy("doc").agg(F.collect_list("at").alias("ats")).withColumnRenamed("doc", "d")
+    gone = first.df.where("kind = 1").select("doc", "at").union(longer.where("kind = 1").select("doc", "at")).union(second.select("doc", "at"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return by_doc.join(gone.hint("merge"), F.col("doc") == F.col("d"), "left").select("doc", "text", "ats").mapInArrow(_cut_out(with_text), out)
+    return with_stretches(gone, "left").mapInArrow(_cut_out(with_text), out)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
