@@ -124,6 +124,20 @@ def test_near_dedup_keeps_one_of_each_group(documents):
     assert out.columns == documents(rows).columns
 
 
+def test_near_dedup_of_long_texts_compares_whole_sets(documents):
+    """Pairs of 636 shingles each, a little above and below a similarity of 0.8."""
+    rng, rows = random.Random(6), []
+    for i in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(640)]
+        copy = list(base)
+        for k in range(14 + i % 3):  # each word takes 5 of 636 shingles along: 0.802, 0.789 or 0.777
+            copy[20 + 40 * k] = f"z{i}_{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    want = jaccard_groups(rows)
+    assert len(want) == 250
+    assert {r["doc_id"] for r in simhash_dedup.near_dedup(documents(rows)).collect()} == want
+
+
 def repeats(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):

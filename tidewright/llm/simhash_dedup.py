@@ -115,34 +115,46 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of a text's distinct shingle hashes: two-value bands of minima, and how many least ones are kept to compare.
 BANDS, LOWEST, PAIR_UP = 16, 192, 16
+#: A pair is ruled out by its least hashes when they estimate its similarity this far too low: by Hoeffding's bound one close pair in 10^15 is.
+MARGIN = 0.3
+
+
+def shingle_hashes(text: str | None, shingle: int):
+    """XXH64 of each shingle of the whole text, repeats included; none for a text without words."""
+    import numpy as np
+    import xxhash
+
+    h64 = xxhash.xxh64_intdigest
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(size)
+    starts, stops = (ends - size)[:n].tolist(), (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
+    return np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(id, fp, same, n, bands, low): fingerprint, name and size of the set of distinct shingles, band keys, least hashes."""
-    bands, lowest = BANDS, LOWEST
+    bands, lowest, hashes = BANDS, LOWEST, shingle_hashes
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        h64 = xxhash.xxh64_intdigest
         place = np.arange(8, dtype=np.int64) * 256
         bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
         weights = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
         turns = np.random.default_rng(5).integers(1, 1 << 63, (2 * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
         def one(text):
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if not words:
+            h = hashes(text, shingle)
+            if not len(h):
                 return 0, 0, 0, [], []
-            joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            ends = np.cumsum(size)
-            starts, stops = (ends - size)[:n].tolist(), (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-            h = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
             votes = np.bincount((h.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048).reshape(8, 256) @ bits
-            fp = int(weights[votes.ravel() * 2 > n].sum(dtype=np.uint64).astype(np.int64))
+            fp = int(weights[votes.ravel() * 2 > len(h)].sum(dtype=np.uint64).astype(np.int64))
             own = np.unique(h)
             least = np.full(2 * bands, np.uint64(0xFFFFFFFFFFFFFFFF))
             for a in range(0, len(own), 20_000):
@@ -160,6 +172,34 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, same long, n long, bands array<long>, low array<long>")
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, set): all distinct shingle hashes of each ``wanted`` (rep, same)."""
+    hashes = shingle_hashes
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            for rep, same, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own = np.unique(hashes(text.as_py(), shingle))
+                if xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 == same:  # else another text under the same id
+                    yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["rep", "set"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "same", "text")
+    return found.mapInArrow(run, "rep long, set array<long>").dropDuplicates(["rep"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose whole sets (rep, set) have a Jaccard similarity of ``similarity`` or more."""
+    left = pairs.join(sets.hint("merge"), F.col("u") == F.col("rep")).select("u", "v", F.col("set").alias("set_u"))
+    both = left.join(sets.hint("merge"), F.col("v") == F.col("rep"))
+    counted = both.select("u", "v", (F.size("set_u") + F.size("set")).alias("sizes"), F.size(F.array_intersect("set_u", "set")).alias("common"))
+    return counted.where(F.col("common") / (F.col("sizes") - F.col("common")) >= similarity - 1e-12).select("u", "v")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one document (the least id) of each group linked at a Jaccard similarity of ``similarity`` or more.
 
@@ -169,15 +209,16 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     (16 bands: a pair at 0.8 shares one but for one in ten million).  Buckets
     of up to PAIR_UP documents are paired up; larger ones link to the member of
     least hash, another in every band.  All candidates are verified on their
-    shingle sets: exactly up to LOWEST distinct shingles, beyond that by the
-    LOWEST least hashes of the union.  Equal sets are merged first.  Texts
+    whole shingle sets: at once up to LOWEST distinct shingles; of larger sets
+    the LOWEST least hashes of the union rule pairs out that are MARGIN below,
+    and the others are compared in full.  Equal sets are merged first.  Texts
     without words are copies of each other; rows with equal ids stay or go
     together.
     """
     made = Stored(sketches(docs, shingle, id_col, text_col))
     sk = made.df
     class_of = sk.groupBy("same", "n").agg(F.min("id").alias("rep"))
-    reps = sk.join(class_of, ["same", "n"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "fp", "n", "bands", "low")
+    reps = sk.join(class_of, ["same", "n"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "fp", "same", "n", "bands", "low")
     reps = stored(reps)
     masks = [F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)]
     keys = F.concat(F.col("bands"), F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(masks)]))
@@ -195,13 +236,19 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     union = F.slice(F.array_sort(F.transform(F.array_union("low_u", "low"), lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))), 1, LOWEST)
     shared = F.size(F.array_intersect(union, F.transform(common, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))))
     exact = F.size(common) / (F.col("n_u") + F.col("n") - F.size(common))
-    close = F.when(F.greatest("n_u", "n") <= LOWEST, exact).otherwise(shared / F.size(union))
+    whole = F.greatest("n_u", "n") <= LOWEST
+    close = F.when(whole, exact >= similarity - 1e-12).otherwise(shared / F.size(union) >= similarity - MARGIN)
     possible = F.least("n_u", "n") >= F.greatest("n_u", "n") * (similarity - 1e-9)
-    edges = both.where(possible & (close >= similarity - 1e-12)).select("u", "v")
+    judged = Stored(both.where(possible & close).select("u", "v", whole.alias("whole")))
+    unsure = judged.df.where(~F.col("whole")).select("u", "v")
+    long = unsure.select(F.col("u").alias("rep")).union(unsure.select("v")).distinct()
+    full = Stored(shingle_sets(docs, reps.select("rep", "same").join(long, "rep"), shingle, id_col, text_col))
+    edges = judged.df.where("whole").select("u", "v").union(similar(unsure, full.df, similarity))
     comps = connected_components(edges)
     lost_reps = comps.where("node <> component").select(F.col("node").alias("rep"))
     classes = sk.select("id", "same", "n").join(class_of, ["same", "n"])
     lost = classes.where("id <> rep").select("id").union(classes.join(lost_reps, "rep", "left_semi").select("id")).distinct()
     lost = stored(lost)
-    made.drop()
+    for x in (made, judged, full):
+        x.drop()
     return docs.join(lost, docs[id_col] == lost["id"], "left_anti")
