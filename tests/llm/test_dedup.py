@@ -138,6 +138,41 @@ def test_near_dedup_of_long_texts_compares_whole_sets(documents):
     assert {r["doc_id"] for r in simhash_dedup.near_dedup(documents(rows)).collect()} == want
 
 
+def test_near_dedup_in_crowded_buckets(documents):
+    """Carriers of one passage, below 0.8 to each other, with near copies among them."""
+    rng, rows = random.Random(8), []
+    passage = [f"p{i}" for i in range(141)]
+    for i in range(400):
+        base = passage + [f"w{rng.randrange(10**6)}" for _ in range(19)]
+        rows.append(" ".join(base))
+        if i < 150:
+            copy = list(base)
+            for k in range(3):
+                copy[rng.randrange(4, 45) + 45 * k] = f"z{i}_{k}"
+            rows.append(" ".join(copy))
+    rows = [*enumerate(rows)]
+    want = jaccard_groups(rows)
+    assert len(want) == 400
+    assert {r["doc_id"] for r in simhash_dedup.near_dedup(documents(rows)).collect()} == want
+
+
+def test_crowded_pairs_are_all_close_pairs(spark):
+    rng, sets = random.Random(5), []
+    for _ in range(60):
+        base = rng.sample(range(10**6), rng.randint(1, 120)) + list(range(-rng.choice([0, 40, 300]), 0))
+        for k in range(rng.randint(1, 4)):
+            keep = [x for x in base if rng.random() > 0.05 * k] or base
+            sets.append(keep + [10**6 + rng.randrange(10**6) for _ in range(rng.randint(0, len(base) // 8))])
+    sets = [sorted({*s}) for s in sets]
+    comp = [i if rng.random() < 0.8 else i // 2 for i in range(len(sets))]
+    want = {(u, v) for u in range(len(sets)) for v in range(u) if comp[u] != comp[v] and len({*sets[u]} & {*sets[v]}) / len({*sets[u]} | {*sets[v]}) >= 0.8}
+    frame = spark.createDataFrame(list(zip(range(len(sets)), comp, sets)), "rep long, comp long, set array<long>")
+    pairs = simhash_dedup.crowded_pairs(frame, 0.8)
+    got = {tuple(r) for r in simhash_dedup.similar(pairs, frame.select("rep", "set"), 0.8).collect()}
+    assert got == want and len(want) > 30
+    assert pairs.count() < len(sets) ** 2 / 20
+
+
 def repeats(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):

@@ -20,6 +20,7 @@ an empty table gives no rows; other columns are kept out of the result.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANDS, LOWEST, PAIR_UP = 16, 192, 16
 #: A pair is ruled out by its least hashes when they estimate its similarity this far too low: by Hoeffding's bound one close pair in 10^15 is.
 MARGIN = 0.3
+#: Set sizes of one class differ by at most this factor.
+STEP = 1.03
 
 
 def shingle_hashes(text: str | None, shingle: int):
@@ -200,6 +203,49 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return counted.where(F.col("common") / (F.col("sizes") - F.col("common")) >= similarity - 1e-12).select("u", "v")
 
 
+def crowded_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): of (rep, comp, set), a superset of the pairs at ``similarity`` or more whose components differ.
+
+    Prefix filtering: shingles have one order, the rarest first.  Two sets that
+    have k shingles in common share one among the first size - k + 1 of each,
+    and k is at least similarity / (1 + similarity) times the sum of the sizes.
+    So that the sum is known, sets meet by classes of their size.  In a bucket
+    (a shingle and two classes) only pairs with a member outside its largest
+    component are made, and only those that can still reach k if this shingle
+    is the first in common; each pair passes at its first one.
+    """
+    tokens = sets.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
+    ordered = Stored(ordered.join(sets.select("rep", "comp"), "rep").select("rep", "comp", "n", "known"))
+    share = similarity / (1 + similarity)
+
+    def size_class(n):
+        return F.floor(F.log(n) / F.lit(math.log(STEP))).cast("int")
+
+    n = F.col("n").cast("double")
+    classes = F.sequence(size_class(F.greatest(F.lit(1.0), n * (similarity - 1e-9))), size_class(n / similarity * (1 + 1e-9)))
+    own = ordered.df.withColumn("own", size_class(n)).withColumn("other", F.explode(classes))
+    other = F.greatest(F.pow(F.lit(STEP), "other") * (1 - 1e-9), n * similarity)
+    needed = F.least(F.ceil((n + other) * share - 1e-6).cast("int"), F.col("n"))
+    rare = F.col("n") - F.size("known")  # found in this set only: first of all
+    first = F.slice("known", 1, F.greatest(F.lit(0), F.col("n") - needed + 1 - rare))
+    entries = own.select("rep", "comp", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), rare.alias("rare"), F.posexplode(first).alias("at", "t"))
+    entries = entries.select("rep", "comp", "n", "own", "low", "high", (F.col("rare") + F.col("at")).alias("at"), F.col("t.token").alias("token"))
+    key = ["token", "low", "high"]
+    mixed = entries.groupBy(*key, "comp").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    met = Stored(entries.join(mixed, key).select(*key, "rep", "comp", "n", "own", "at", (F.col("comp") == F.col("main")).alias("is_main")))
+    x, y = met.df.where(~F.col("is_main")).alias("x"), met.df.alias("y")
+    once = F.expr("x.comp <> y.comp AND (y.is_main OR x.rep < y.rep) AND (x.low = x.high OR x.own <> y.own)")
+    reached = F.expr("least(x.n - x.at, y.n - y.at)") >= F.expr("x.n + y.n") * F.lit(share) - 1e-6
+    fits = F.expr("least(x.n, y.n)") >= F.expr("greatest(x.n, y.n)") * (similarity - 1e-9)
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+    pairs = Stored(x.hint("merge").join(y, [*same, once, reached, fits]).select(F.expr("greatest(x.rep, y.rep)").alias("u"), F.expr("least(x.rep, y.rep)").alias("v")).distinct())
+    ordered.drop()
+    met.drop()
+    return pairs.df
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one document (the least id) of each group linked at a Jaccard similarity of ``similarity`` or more.
 
@@ -208,7 +254,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     give candidates together with bands of two minima of the shingle hashes
     (16 bands: a pair at 0.8 shares one but for one in ten million).  Buckets
     of up to PAIR_UP documents are paired up; larger ones link to the member of
-    least hash, another in every band.  All candidates are verified on their
+    least hash, another in every band.  That joins groups of close copies; the
+    members of larger buckets that still have several components then meet by
+    prefix filtering, which misses no pair.  All candidates are verified on their
     whole shingle sets: at once up to LOWEST distinct shingles; of larger sets
     the LOWEST least hashes of the union rule pairs out that are MARGIN below,
     and the others are compared in full.  Equal sets are merged first.  Texts
@@ -241,14 +289,20 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     possible = F.least("n_u", "n") >= F.greatest("n_u", "n") * (similarity - 1e-9)
     judged = Stored(both.where(possible & close).select("u", "v", whole.alias("whole")))
     unsure = judged.df.where(~F.col("whole")).select("u", "v")
-    long = unsure.select(F.col("u").alias("rep")).union(unsure.select("v")).distinct()
-    full = Stored(shingle_sets(docs, reps.select("rep", "same").join(long, "rep"), shingle, id_col, text_col))
+    crowd = Stored(met.where(F.col("members") > PAIR_UP).select("band", "key", "rep"))
+    wanted = unsure.select(F.col("u").alias("rep")).union(unsure.select("v")).union(crowd.df.select("rep")).distinct()
+    full = Stored(shingle_sets(docs, reps.select("rep", "same").join(wanted, "rep"), shingle, id_col, text_col))
     edges = judged.df.where("whole").select("u", "v").union(similar(unsure, full.df, similarity))
-    comps = connected_components(edges)
+    linked = Stored(connected_components(edges))
+    placed = crowd.df.join(linked.df, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_ones = placed.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "key")
+    left_over = placed.join(open_ones, ["band", "key"]).select("rep", "comp").distinct()
+    more = similar(crowded_pairs(full.df.join(left_over, "rep"), similarity), full.df, similarity)
+    comps = stored(connected_components(linked.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
     lost_reps = comps.where("node <> component").select(F.col("node").alias("rep"))
     classes = sk.select("id", "same", "n").join(class_of, ["same", "n"])
     lost = classes.where("id <> rep").select("id").union(classes.join(lost_reps, "rep", "left_semi").select("id")).distinct()
     lost = stored(lost)
-    for x in (made, judged, full):
+    for x in (made, judged, crowd, full, linked):
         x.drop()
     return docs.join(lost, docs[id_col] == lost["id"], "left_anti")
