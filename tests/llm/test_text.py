@@ -103,6 +103,19 @@ def test_langid_held_out_accuracy_and_odd_texts(documents, monkeypatch):
     assert langid.predict(df, ([], None)).where("lang_pred <> 'und'").isEmpty() and langid.predict(df.limit(0), model).isEmpty()
 
 
+def test_long_texts_leave_the_training_sample_to_others(spark, documents):
+    """Texts as long as the whole bound, of both labels and at any place in the sample."""
+    df = documents([(i, ("long " * 6000 if i % 3 == 0 else f"text {i} ") * (1 + i % 2)) for i in range(120)])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    every = F.lit(True)
+    got = toxicity.training_rows(df, labels, lambda i: every, 150, 30_000)
+    assert sorted(len(r["text"]) < 100 for r in got) == [True] * 80 and sum(r["toxic"] for r in got) == 20
+    got = toxicity.training_rows(df, labels, lambda i: every, 150, 400)  # half for each label
+    assert [sum(len(r["text"]) for r in got if r["toxic"] == k) <= 200 for k in (0, 1)] == [True] * 2 and 10 < sum(r["toxic"] for r in got) < 25
+    got = toxicity.training_rows(df.where("doc_id % 3 = 0"), labels, lambda i: every, 150, 20_000)
+    assert sorted((r["toxic"], len(r["text"])) for r in got) == [(0, 30000), (1, 30000)]
+
+
 def test_toxicity_held_out_and_odd_texts(spark, documents):
     rng = random.Random(6)
     words = ["".join(rng.choice(["er", "an", "th", "on", "ing"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]

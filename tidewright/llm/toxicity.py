@@ -8,7 +8,10 @@ the scaled features with an L2 penalty.  Rare or indifferent features get
 weight zero.  Scoring reads every whole text, in blocks.
 
 The classifier is fitted on a sample bounded by ``max_train`` texts for each
-label, taken by a hash of the document id, and by ``max_train_bytes`` in all.
+label, taken by a hash of the document id, and by ``max_train_bytes`` in all,
+half of them for each label and what the other label doesn't need.  Texts over
+1/128 of the bytes (125,000) come last in their label, the shortest first, so
+that they don't crowd out the others; the first text of a label always stays.
 
 Defined results: null text is scored like empty text; ties and repeated rows
 are scored each by its text; without labelled texts of both kinds every score
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, table
 
 SIZES, BUCKET_BITS = (4, 5, 6), 22
-MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 16_000_000
+MAX_TRAIN, MAX_TRAIN_BYTES, LONG_SHARE = 3000, 16_000_000, 128
 SMOOTH, MIN_TEXTS, MIN_RATIO, L2, STEPS = 0.5, 6, 2.5, 3.0, 300
 BLOCK = 1 << 20
 
@@ -91,10 +94,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, train, max_train: int, max
     """(text, label) of at most ``max_train`` texts for each label and ``max_bytes`` in all."""
     own = labels.where(F.col("toxic").isin(0, 1) & train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = hashed_sample(own, "doc_id", "toxic", max_train).withColumnRenamed("__k", "k")
-    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").where(F.octet_length("text") > 0)
-    fair = W.orderBy("k", "toxic").rowsBetween(W.unboundedPreceding, 0)  # at most 2 max_train rows
-    sizes = found.select("doc_id", "toxic", "k", F.octet_length("text").alias("bytes")).withColumn("total", F.sum("bytes").over(fair)).where(F.col("total") <= max_bytes)
-    return found.join(F.broadcast(sizes.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic").collect()
+    found = docs.select("doc_id", "text", F.octet_length("text").alias("bytes")).join(F.broadcast(own), "doc_id").where("bytes > 0")
+    long = F.when(F.col("bytes") > max_bytes // LONG_SHARE, F.col("bytes")).otherwise(0)
+    order = W.partitionBy("toxic").orderBy(long, "k", "bytes")  # at most max_train rows a label
+    sizes = found.select("doc_id", "toxic", "k", "bytes")
+    sizes = sizes.withColumn("total", F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+    sizes = sizes.withColumn("others", F.sum("bytes").over(W.partitionBy()) - F.sum("bytes").over(W.partitionBy("toxic")))
+    sizes = sizes.where((F.col("total") <= F.greatest(F.lit(max_bytes // 2), F.lit(max_bytes) - F.col("others"))) | (F.col("place") == 1))
+    return found.join(F.broadcast(sizes.select("doc_id", "bytes").distinct()), ["doc_id", "bytes"], "left_semi").select("text", "toxic").collect()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
