@@ -1,10 +1,11 @@
-"""Removal of repeated passages by prefix doubling over a synchronising sample.
+"""Removal of repeated passages by window fingerprints over a synchronising sample.
 
 A byte goes when it lies in a ``length``-byte string that also starts earlier.
-Prefix doubling ranks positions by ever longer prefixes and sorts rank pairs;
-positions whose rank is unique leave.  Ranking every byte position at once
-would move some thirty times the input, so the first round works on a sample
-that no repeat can miss: each ``length``-byte window picks, of its K-byte
+Prefix doubling, which this replaces, ranks positions by ever longer prefixes
+and sorts rank pairs; positions whose rank is unique leave.  Ranking every byte
+position at once would move some thirty times the input, so nothing doubles
+here: prefixes have fixed lengths and are hashed straight from the text, and
+the first round works on a sample that no repeat can miss: each ``length``-byte window picks, of its K-byte
 prefixes of suffixes, the one of least hash (leftmost on ties).  Equal windows
 pick equal places, so
 
