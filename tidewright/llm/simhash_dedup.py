@@ -167,8 +167,8 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             keys = (least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]).view(np.int64)
             return fp, xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, len(own), keys.tolist(), own[:lowest].view(np.int64).tolist()
 
-        for b in batches:
-            rows = list(zip(*(one(t.as_py()) for t in b.column(1)))) or [[]] * 5
+        for b in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
+            rows = list(zip(*(one(t.as_py()) for t in b.column(1))))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(rows, kinds))], ["id", "fp", "same", "n", "bands", "low"])
 
