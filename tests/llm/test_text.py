@@ -90,7 +90,7 @@ def spoken(n):
 
 
 def test_langid_held_out_accuracy_and_odd_texts(documents, monkeypatch):
-    monkeypatch.setattr(langid, "STEPS", 250)
+    monkeypatch.setattr(langid, "STEPS", 150)
     rows = spoken(200)
     df = documents(rows + [(900, None, None, "s"), (901, "", "aa", "s"), (902, "12 34 !!", "aa", "s"), (903, "ka" * 40000, None, "s")])
     model = langid.train(langid.training_rows(df, lambda i: ~langid.held_out(i)))
@@ -103,6 +103,52 @@ def test_langid_held_out_accuracy_and_odd_texts(documents, monkeypatch):
     assert langid.predict(df, ([], None)).where("lang_pred <> 'und'").isEmpty() and langid.predict(df.limit(0), model).isEmpty()
 
 
+def test_windows_against_plain_runs_of_the_network():
+    """Up to a window a text is read in one go; beyond, each window with its context is."""
+    rng = np.random.default_rng(1)
+    net = langid.new_net(3, rng, np.float64)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (1, 7, 16, 16, 17, 20, 33, 75)]
+    window, context = 16, 5
+
+    def plain(part):
+        return np.array(langid.probabilities(net, part[:, None].astype(int)))[:, :, 0]
+
+    data, cut = np.concatenate(texts), 0
+    for t in texts:
+        for nth, a in enumerate(range(0, len(t), window)):
+            part = t[a : a + window]
+            fore, _ = langid.gru(net["f"], t[max(0, a - context) : a + window][:, None].astype(int))
+            back, _ = langid.gru(net["b"], t[a : a + window + context][::-1][:, None].astype(int))
+            o = net["o"]
+            want = sum(langid.softmax(o["F"].T @ f + o["B"].T @ b + o["c"][:, None]) for f, b in zip(fore[-len(part) :], back[::-1]))
+            if len(t) <= window:
+                assert np.allclose(want[:, 0], plain(t).sum(0))
+            reach = np.array([min(len(t) - a, window + context)])
+            got = langid.window_sums(net, data, np.array([cut + a]), reach, nth > 0, window, context)
+            assert np.allclose(got, want)
+        cut += len(t)
+    first = [sum(map(len, texts[:k])) for k in range(len(texts))]
+    reach = np.array([min(len(t), window + context) for t in texts])
+    order = np.argsort(-reach, kind="stable")
+    together = langid.window_sums(net, data, np.array(first)[order], reach[order], False, window, context)
+    alone = [langid.window_sums(net, data, np.array([first[k]]), reach[[k]], False, window, context)[:, 0] for k in order]
+    assert np.allclose(together.T, alone)
+
+
+def test_training_samples_hold_for_repeats_and_long_texts(spark, documents):
+    repeated = [(7, "ka lo mi", "aa", "s")] * 5000 + [(i, "schr ung " * 3, "bb", "s") for i in range(40)] + [(50, "ver eit " * 100_000, "bb", "s"), (None, "x y", "cc", "s")]
+    df = documents(repeated, extra=False)
+    every = F.lit(True)
+    got = langid.training_rows(df, lambda i: every, 20)
+    assert sorted((lang, [g[1] for g in got].count(lang)) for lang in {g[1] for g in got}) == [("aa", 1), ("bb", 20), ("cc", 1)]
+    assert max(len(t) for t, _ in langid.training_rows(df, lambda i: every, 60)) == langid.EXCERPT
+    labels = spark.createDataFrame([(7, 0, 0), *((i, 1, 1) for i in range(8, 60))] * 2, "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(df, labels, lambda i: every, 60, 1_000_000)
+    assert [sum(r["toxic"] == k for r in rows) for k in (0, 1)] == [1, 33]
+    other = documents([(7, f"text {i}", "aa", "s") for i in range(3000)], extra=False)
+    assert len(toxicity.training_rows(other, labels, lambda i: every, 30, 1_000_000)) == 1
+
+
 def test_long_texts_leave_the_training_sample_to_others(spark, documents):
     """Texts as long as the whole bound, of both labels and at any place in the sample."""
     df = documents([(i, ("long " * 6000 if i % 3 == 0 else f"text {i} ") * (1 + i % 2)) for i in range(120)])
@@ -169,6 +215,22 @@ def test_packing_round_trip(documents, vocabulary):
     assert packing.pack(documents([]), vocabulary).isEmpty()
 
 
+def test_very_long_white_space_and_runs_against_tokenizers(documents, vocabulary):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(vocabulary)
+    tk.encode_special_tokens = True
+    merge, _ = packing.merger(vocabulary)
+    rng = random.Random(4)
+    texts = [a + c * n + b for n in (1_000_000, 5_000_000) for c in "\n \t7" for a, b in (("x", ""), ("", "y"))]
+    texts += ["".join(rng.choice(["ab", "1", "!", "'s", "é"]) + rng.choice(["\n", " ", "\r\n", "\u3000", "\x1c"]) * rng.choice([1, 2, 10_001, 15_000]) + rng.choice(["", " ", "x"]) for _ in range(3)) for _ in range(20)]
+    for t in texts:
+        assert merge(t) == tk.encode(t, add_special_tokens=False).ids
+    rows = [(1, "x" + "\n" * 1_000_000), (2, " " * 1_000_000)]
+    got = packing.pack(documents(rows, 1), vocabulary).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(tk.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows} and all(r["n"] == r["t"] for r in got)
+
+
 def test_cuts_against_all_choices():
     """The program's cost is the least over every choice of cuts."""
     rng = random.Random(3)

@@ -126,18 +126,38 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spread: str, mos
     return left.join(copies.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__shard")), "left").drop("__s", "__key", "__shard")
 
 
-def hashed_sample(rows: DataFrame, key: str, by: str, k: int) -> DataFrame:
-    """At most ``k`` rows for each value of ``by`` (labels: few), those of least hash of ``key``, numbered from 1 in __k.
+def hashed_sample(rows: DataFrame, key: str, by: str, k: int, groups: int = 64) -> DataFrame:
+    """At most ``k`` rows with different ``key`` (a hash) for each of the ``groups`` most frequent values of ``by``.
 
-    Counts come first, so that little more than ``k`` rows of a group, however
-    large it is, meet in its task.
+    Those of least key, with __k from 1.  Distinct keys are estimated first, so
+    that little more than ``k`` rows of a group, however large it is, meet in
+    its task; rows with equal keys are merged where they are read.
     """
-    whole = 1 << 30
-    place = F.pmod(F.xxhash64(key), F.lit(whole))
-    bound = F.lit(0)
-    for r in rows.groupBy(by).agg(F.count("*").alias("__n")).collect():
-        share = min(1.0, (k + 8 * k**0.5 + 64) / r["__n"])
-        bound = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.lit(int(share * whole))).otherwise(bound)
-    order = W.partitionBy(by).orderBy("__place", key)
-    near = rows.withColumn("__place", place).where(F.col("__place") < bound)
-    return near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__place")
+    place, whole = F.shiftrightunsigned(F.col(key), 2), 1 << 62
+    bound = F.lit(0).cast("long")
+    sizes = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("__n"), F.approx_count_distinct(key, 0.02).alias("__d"))
+    for r in sizes.orderBy(F.desc("__n"), by).limit(groups).collect():
+        share = min(1.0, (1.2 * k + 8 * k**0.5 + 64) / max(r["__d"], 1))
+        bound = F.when(F.col(by) == F.lit(r[by]), F.lit(int(share * whole)).cast("long")).otherwise(bound)
+    near = rows.where(place < bound).groupBy(by, key).agg(*[F.first(c).alias(c) for c in rows.columns if c not in (by, key)])
+    return near.withColumn("__k", F.row_number().over(W.partitionBy(by).orderBy(F.shiftrightunsigned(F.col(key), 2), key))).where(F.col("__k") <= k)
+
+
+def freeing(run):
+    """``run`` for mapInArrow, after which its worker, which lives on, gives unused memory back."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+    return wrapped

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, hashed_sample, stored, table
 
-THRESHOLD, DIRECTIONS, BLOCK, LEAF, SAMPLE = 0.95, 8, 1024, 64, 10_000
+THRESHOLD, DIRECTIONS, BLOCK, LEAF, SAMPLE, LENGTHS = 0.95, 8, 1024, 64, 2_000, 8
 BLOCKS = "block long, dim int, lo array<double>, hi array<double>, cells array<struct<a:int,b:int>>, ids binary, counts binary, units binary"
 
 
@@ -198,7 +198,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).withColumn("v", F.when(F.coalesce(fine, F.lit(False)), v)).withColumn("h", F.xxhash64("v"))
     reps = stored(rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    axes = directions([r[0] for r in hashed_sample(reps.select("v", "rep", F.size("v").alias("dim")), "rep", "dim", SAMPLE).select("v").collect()])
+    axes = directions([r[0] for r in hashed_sample(reps.select("v", "h", F.size("v").alias("dim")), "h", "dim", SAMPLE, LENGTHS).select("v").collect()])
     blocks = stored(blocks_of(reps, axes, eps))
     met = stored(links(blocks, near_blocks(blocks, eps), threshold, eps, axes))
     comps = connected_components(met.select(F.col("rep").alias("u"), F.col("least").alias("v")))

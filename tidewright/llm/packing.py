@@ -18,8 +18,8 @@ is cut into powers of two where that is cheaper.  Memory is bounded by a block
 (or one document).  Sequence ids hold the partition number above bit 32; a
 lost task that runs again reads the same split and gives the same pieces.
 
-Defined results: null or empty text is the end id alone; repeated rows are
-packed each; special-token strings in a text are ordinary text; an empty table
+Defined results: null or empty text is the end id alone; texts and white space
+may be of any length; repeated rows are packed each; special-token strings in a text are ordinary text; an empty table
 gives no rows; other columns are not looked at.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import freeing, table
 
 LENGTH, END_ID, BLOCK_IDS, STRIDE = 2048, 1, 600_000, 32
 SENTENCE_PENALTY, INSIDE_PENALTY = 2.0, 8.0
@@ -37,6 +37,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Pre-tokenizer pattern of byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of the White_Space property (fixed value), and how many in a row are merged apart.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = 10_000
 
 
 def merger(path: str):
@@ -63,7 +66,31 @@ def merger(path: str):
     made = [model["vocab"].get(x + y) for x, y in merges]
     if len(ranks) != 256 + len(merges) or made != list(range(256, 256 + len(merges))):
         return None
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {i: t for t, i in ranks.items()}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _long_space_apart(own.encode_ordinary, own._encode_single_piece), {i: t for t, i in ranks.items()}
+
+
+def _long_space_apart(merge, single):
+    """``merge`` for any text: the pattern engine's stack overflows on very long white space, so that is merged as the one piece that it is.
+
+    By the pattern, white space is one piece, but for its last character where text follows.
+    """
+    import re
+
+    run = re.compile(f"(?<![{SPACE}])[{SPACE}]{{{LONG_SPACE},}}")
+
+    def ids_of(text: str) -> list:
+        if len(text) < LONG_SPACE:
+            return merge(text)
+        ids, at = [], 0
+        for m in run.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            ids += merge(text[at : m.start()])
+            ids += single(text[m.start() : stop])
+            at = stop
+        return ids + merge(text[at:])
+
+    return ids_of
 
 
 def tokenizer(path: str):
@@ -239,7 +266,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 5_000_000, side="right")))
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 2_500_000, side="right")))
                 yield batch.slice(a, b - a)
                 a = b
 
@@ -254,7 +281,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
         if held:
             yield solve(True)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(freeing(run), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

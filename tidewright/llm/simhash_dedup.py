@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, connected_components, stored, table
+from .common import Stored, connected_components, freeing, stored, table
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 BLOCK = 100_000
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fps = pa.array([one(t.as_py()) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -172,7 +172,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(rows, kinds))], ["id", "fp", "same", "n", "bands", "low"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, same long, n long, bands array<long>, low array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), "id long, fp long, same long, n long, bands array<long>, low array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -192,7 +192,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str,
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "same", "text")
-    return found.mapInArrow(run, "rep long, set array<long>").dropDuplicates(["rep"])
+    return found.mapInArrow(freeing(run), "rep long, set array<long>").dropDuplicates(["rep"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -12,6 +12,7 @@ label, taken by a hash of the document id, and by ``max_train_bytes`` in all,
 half of them for each label and what the other label doesn't need.  Texts over
 1/128 of the bytes (125,000) come last in their label, the shortest first, so
 that they don't crowd out the others; the first text of a label always stays.
+Equal rows are learned once, and of several texts with one id one is.
 
 Defined results: null text is scored like empty text; ties and repeated rows
 are scored each by its text; without labelled texts of both kinds every score
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, table
+from .common import freeing, hashed_sample, table
 
 SIZES, BUCKET_BITS = (4, 5, 6), 22
 MAX_TRAIN, MAX_TRAIN_BYTES, LONG_SHARE = 3000, 16_000_000, 128
@@ -91,17 +92,19 @@ def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train, max_train: int, max_bytes: int) -> list:
-    """(text, label) of at most ``max_train`` texts for each label and ``max_bytes`` in all."""
+    """(text, label) of at most ``max_train`` texts for each label and ``max_bytes`` in all; equal rows are taken once, and one text of an id."""
     own = labels.where(F.col("toxic").isin(0, 1) & train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = hashed_sample(own, "doc_id", "toxic", max_train).withColumnRenamed("__k", "k")
-    found = docs.select("doc_id", "text", F.octet_length("text").alias("bytes")).join(F.broadcast(own), "doc_id").where("bytes > 0")
+    own = hashed_sample(own.withColumn("key", F.xxhash64("doc_id")), "key", "toxic", max_train).select("doc_id", "toxic", F.col("__k").alias("k"))
+    found = docs.select("doc_id", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).join(F.broadcast(own), "doc_id").where("bytes > 0")
+    sizes = found.groupBy("doc_id", "toxic", "k").agg(F.min(F.struct("hash", "bytes")).alias("x")).select("doc_id", "toxic", "k", "x.*")  # at most max_train rows a label
     long = F.when(F.col("bytes") > max_bytes // LONG_SHARE, F.col("bytes")).otherwise(0)
-    order = W.partitionBy("toxic").orderBy(long, "k", "bytes")  # at most max_train rows a label
-    sizes = found.select("doc_id", "toxic", "k", "bytes")
+    order = W.partitionBy("toxic").orderBy(long, "k", "bytes")
     sizes = sizes.withColumn("total", F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
     sizes = sizes.withColumn("others", F.sum("bytes").over(W.partitionBy()) - F.sum("bytes").over(W.partitionBy("toxic")))
     sizes = sizes.where((F.col("total") <= F.greatest(F.lit(max_bytes // 2), F.lit(max_bytes) - F.col("others"))) | (F.col("place") == 1))
-    return found.join(F.broadcast(sizes.select("doc_id", "bytes").distinct()), ["doc_id", "bytes"], "left_semi").select("text", "toxic").collect()
+    chosen = found.join(F.broadcast(sizes.select("doc_id", "hash", "bytes")), ["doc_id", "hash", "bytes"], "left_semi")
+    once = chosen.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return once.orderBy("doc_id", "hash").select("text", "toxic").collect()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +130,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), "doc_id long, score double")
 
 
 def held_out(doc_id):
