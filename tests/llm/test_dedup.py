@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tidewright.llm import embedding_dedup, exact_dedup, simhash_dedup, suffix_dedup
-from tidewright.llm.common import connected_components
+from tidewright.llm.common import connected_components, join_spread, maybe_in
 
 
 class Groups:
@@ -156,6 +156,36 @@ def test_near_dedup_in_crowded_buckets(documents):
     assert {r["doc_id"] for r in simhash_dedup.near_dedup(documents(rows)).collect()} == want
 
 
+def test_near_dedup_of_one_large_family(documents):
+    """400 texts of 60 words, one or two of them changed: buckets of far over PAIR_UP."""
+    rng, rows = random.Random(1), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(1, 2)):
+            copy[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    assert {r["doc_id"] for r in simhash_dedup.near_dedup(documents(rows)).collect()} == jaccard_groups(rows)
+
+
+def test_near_dedup_of_repeated_ids_and_nothing(documents):
+    rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (5, "q r s t u v w"), (3, "A b c d e f g"), (None, "null id row one two"), (9, "null id row one two"), (8, ""), (7, None)]
+    got = sorted((r["doc_id"] is not None, r["doc_id"], r["text"] or "") for r in simhash_dedup.near_dedup(documents(rows)).collect())
+    assert got == [(False, None, "null id row one two"), (True, 3, "A b c d e f g"), (True, 5, "q r s t u v w"), (True, 7, "")]
+    assert simhash_dedup.near_dedup(documents([])).isEmpty()
+
+
+def test_hot_groups_join_like_others(spark):
+    """A key of over a thousandth of all rows goes to many tasks; nulls meet."""
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i}") for i in range(900)], "i long, k string")
+    groups = rows.groupBy("k").count().selectExpr("k", "count AS n", "concat('g', k) AS g")
+    got = join_spread(rows, groups, ["k"], "n", "i").collect()
+    assert len(got) == 900 and all(r["g"] == (r["k"] and "g" + r["k"]) and r["n"] == (18 if r["k"] is None else 588 if r["k"] == "hot" else 1) for r in got if r["k"] != "hot") and len({r["n"] for r in got if r["k"] == "hot"}) == 1
+    keys = spark.range(100).selectExpr("concat('x', id) AS k")
+    seen = maybe_in(spark.range(5000).selectExpr("concat('x', id) AS k"), keys, "k", "__in").where("__in").collect()
+    assert {f"x{i}" for i in range(100)} <= {r["k"] for r in seen} and len(seen) < 110
+
+
 def test_crowded_pairs_are_all_close_pairs(spark):
     rng, sets = random.Random(5), []
     for _ in range(60):
@@ -188,6 +218,13 @@ def repeats(rows, length=100):
     return out
 
 
+def test_exact_dedup_of_folders_files_and_patterns(spark, documents, tmp_path):
+    documents([(1, "t"), (2, "t"), (3, "u")], 1).write.parquet(f"{tmp_path}/docs.parquet")
+    one = next(tmp_path.glob("docs.parquet/part-*"))
+    for path in (f"{tmp_path}/docs.parquet/", str(one), f"{tmp_path}/doc*.parquet"):
+        assert sorted(tuple(r)[:3] for r in exact_dedup.exact_dedup(spark, path).collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+
+
 def test_suffix_dedup(documents):
     rng = random.Random(3)
     bases = ["".join(rng.choice("abcde é") for _ in range(600)) for _ in range(6)]
@@ -213,7 +250,12 @@ def test_suffix_dedup_of_equal_ids_keeps_a_copy(documents):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 400)]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("bytes_a_block", [4 << 20, 16 * 8 * 20])
+def test_embedding_dedup(spark, monkeypatch, bytes_a_block):
+    """In one block, and in many below a tree of boxes."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", bytes_a_block)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    monkeypatch.setattr(embedding_dedup, "FAN", 3)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 16))
     vectors = [(base[rng.integers(20)] + rng.normal(size=16) * 0.25).tolist() for _ in range(300)]

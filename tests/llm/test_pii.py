@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import pii
 
@@ -56,6 +59,71 @@ def test_disclosing_terms_go_and_common_words_stay(documents):
     assert clean[10] == rows[10][1]
 
 
+def brute_terms(rows, support=2, generalise=0.75, remove=0.9):
+    """Added spans by the definition, unit by unit (lines, all short)."""
+    units, n_t, n_e, n_te, differ = [], {}, {}, {}, {}
+    for i, t in rows:
+        at = 0
+        for line in (t or "").split("\n"):
+            spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in brute(line).split(",") if x)]
+            words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", line)]
+            units.append((i, at, line, spans, words))
+            at += len(line) + 1
+    for _, _, line, spans, words in units:
+        for w in {x[2] for x in words}:
+            n_t[w] = n_t.get(w, 0) + 1
+        for e in {(k, line[a:b].lower()) for a, k, b in spans}:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in {x[2] for x in words}:
+                n_te[e, w] = n_te.get((e, w), 0) + 1
+                differ.setdefault((e, w), set()).add(line)
+    out = {i: [] for i, _ in rows}
+    for i, at, line, spans, words in units:
+        for a, b, w in words:
+            if any(x < b and a < y for x, _, y in spans):
+                continue
+            shares = [math.log2(n_te[e, w] * len(units) / (n_t[w] * n_e[e])) / math.log2(len(units) / n_e[e]) for e in {(k, line[x:y].lower()) for x, k, y in spans} if len(differ[e, w]) >= support]
+            if shares and max(shares) >= generalise:
+                out[i].append(f"{'term' if max(shares) >= remove else 'general'}:{at + a}:{at + b}")
+    return out
+
+
+def test_disclosing_terms_against_brute_force(documents):
+    rng = random.Random(2)
+    words = ["zorblax", "Quill", "NATO", "report", "the", "from", "wrote", "garden", "silver", "moon"]
+    people = [f"p{k}@x{k}.org" for k in range(4)] + ["+1 (961) 555-6946", "10.2.3.4"]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(people))
+            line = [rng.choice(words[4:]) for _ in range(4)] + ([people[k], words[k % 3]] if rng.random() < 0.4 else [])
+            rng.shuffle(line)
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    rows += [(900, None), (901, "")]
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 30
+    for r in pii.find_pii(documents(rows)).select("doc_id", pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.col("spans")).alias("spans")).collect():
+        assert sorted(filter(None, r["spans"].split(","))) == sorted([*filter(None, r["base"].split(",")), *want[r["doc_id"]]])
+
+
+def test_a_line_of_many_addresses(documents):
+    line = " ".join(f"user{k}@host{k % 50}.org name{k % 7}" for k in range(10_000))
+    began = time.time()
+    got = pii.find_pii(documents([(1, line), (2, "x " + line), (3, line + " end")])).collect()
+    assert all(len(r["base"]) == 10_000 for r in got) and time.time() - began < 120
+
+
+def test_units_are_the_whole_text(spark):
+    texts = ["", "a\n\nb", "x" * 2500, "word " * 1000 + "\nend", "\n", ("y" * 999 + " ") * 3, "é😀 " * 900]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["u"], r["s"]) for r in frame.select("i", pii._units(F.col("t")).alias("u")).select("i", "u", pii._starts(F.transform("u", F.length)).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        units, starts = got[i]
+        assert "".join(units) == t and all(len(u) <= pii.UNIT + 1 for u in units) and starts == [sum(map(len, units[:k])) for k in range(len(units))]
+
+
 def test_empty_table_and_copies_alone_are_no_evidence(documents):
     assert pii.find_pii(documents([])).isEmpty()
     same = "call zorblax at mole@secret.org now"

@@ -37,13 +37,21 @@ def test_line_dedup_against_sql(documents):
     assert got.agg(F.sum("n_dropped")).first()[0] > 20
     assert line_dedup.line_dedup(df.limit(0)).isEmpty()
     assert line_dedup.line_dedup(df).columns[: len(df.columns)] == df.columns
+    again = line_dedup.line_dedup(line_dedup.line_dedup(df.withColumn("drop", F.lit(1))))
+    assert len(set(again.columns)) == len(again.columns) and again.agg(F.sum("__dropped")).first()[0] == 0
+
+
+def test_line_dedup_by_the_host_of_an_address(spark):
+    rows = [(i, f"https://{'A' if i % 2 else 'a'}.org:80/p{i}", f"page {i}\nmenu") for i in range(20)] + [(50, "http://b.net/x", "menu"), (51, None, "menu"), (52, "no address", None)]
+    got = {r["page_id"]: r["html"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string"), line_dedup.page_host(F.col("url")), "html").collect()}
+    assert all(got[i] == f"page {i}" for i in range(20)) and got[50] == got[51] == "menu" and got[52] is None
 
 
 def test_line_dedup_without_broadcast_is_the_same(documents, monkeypatch):
     df = documents(rows_of())
     want = sorted(repr(r) for r in line_dedup.line_dedup(df).collect())
     joined = line_dedup.join_by_group
-    monkeypatch.setattr(line_dedup, "join_by_group", lambda *a: joined(*a, most=-1, shards=4))
+    monkeypatch.setattr(line_dedup, "join_by_group", lambda *a: joined(*a, most=-1))
     assert sorted(repr(r) for r in line_dedup.line_dedup(df).collect()) == want
 
 
@@ -53,6 +61,8 @@ def test_mixing_against_sql(documents):
     assert sorted(repr(tuple(r)) for r in got.collect()) == sql(df, mixing.SQL, got.columns)
     places = [r["place"] for r in got.collect()]
     assert places == sorted(places)
+    again = mixing.mix(mixing.mix(df.withColumn("__rate", F.lit(1)).withColumn("__n", F.lit("n"))))
+    assert len(set(again.columns)) == len(again.columns) and set(df.columns) < set(again.columns) and again.count() > 0
 
 
 def test_mixing_rates_and_large_means(spark, documents):
@@ -222,7 +232,7 @@ def test_very_long_white_space_and_runs_against_tokenizers(documents, vocabulary
     tk.encode_special_tokens = True
     merge, _ = packing.merger(vocabulary)
     rng = random.Random(4)
-    texts = [a + c * n + b for n in (1_000_000, 5_000_000) for c in "\n \t7" for a, b in (("x", ""), ("", "y"))]
+    texts = [a + c * n + b for n, cs in ((1_000_000, "\n \t7"), (5_000_000, "\n")) for c in cs for a, b in (("x", ""), ("", "y"))]
     texts += ["".join(rng.choice(["ab", "1", "!", "'s", "é"]) + rng.choice(["\n", " ", "\r\n", "\u3000", "\x1c"]) * rng.choice([1, 2, 10_001, 15_000]) + rng.choice(["", " ", "x"]) for _ in range(3)) for _ in range(20)]
     for t in texts:
         assert merge(t) == tk.encode(t, add_special_tokens=False).ids

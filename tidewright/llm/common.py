@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Key shards given to a side that may be hot when it is dealt by its group.
-HOT_SHARDS = 256
+#: A key is hot with one in HOT_KEYS of all rows (and HOT_LEAST at least); its rows are dealt over HOT_SHARDS shards.
+HOT_KEYS, HOT_LEAST, HOT_SHARDS = 1000, 32, 64
+#: Bits of a filter of keys: 8 MB.
+FILTER_BITS = 1 << 26
 #: Measured size up to which a side is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -109,21 +111,59 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spread: str, most: int = BROADCAST_BYTES, shards: int = HOT_SHARDS) -> DataFrame:
-    """``rows`` left-joined to the row of ``groups`` for their ``key``, when a key may hold a third of all rows.
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``groups`` by ``keys``, when one key may hold a third of all rows; null keys meet null keys.
 
-    ``groups`` should be stored: its size is measured.  Up to ``most`` bytes it
-    is broadcast.  Beyond, it is repeated over ``shards`` numbered copies and
-    rows take one by a hash of ``spread``, so that a hot key goes to many
-    tasks.  Null keys meet null keys.
+    ``groups`` should be stored; its column ``count`` tells how many rows hold a
+    key.  Keys with a thousandth of all rows are a thousand at most: they are
+    broadcast, their groups repeated over numbered shards, and their rows dealt
+    over these by a hash of ``spread``.  All other keys join as they are.
+    Columns of ``groups`` besides ``keys`` should not be in ``rows``.
     """
-    small = groups.withColumnRenamed(key, "__key")
+    total = groups.select(*keys, count).dropDuplicates(keys).agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(total / HOT_KEYS, HOT_LEAST)
+    hidden = {k: f"__key_{k}" for k in keys}
+    side = groups.withColumnsRenamed(hidden)
+    rest = [c for c in side.columns if c not in hidden.values()]
+
+    def same(key_of: dict):
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.col(k).eqNullSafe(F.col(key_of[k]))
+        return out
+
+    flags = {k: f"__hot_{k}" for k in keys}
+    known = groups.where(hot).select(*[F.col(k).alias(flags[k]) for k in keys]).distinct()
+    if known.isEmpty():
+        joined = rows.join(side.hint("merge"), same(hidden), how)
+    else:
+        flagged = rows.join(F.broadcast(known.withColumn("__hot", F.lit(True))), same(flags), "left")
+        shard = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SHARDS))).otherwise(0).cast("int")
+        shards = F.when(hot, F.sequence(F.lit(0), F.lit(HOT_SHARDS - 1))).otherwise(F.array(F.lit(0)))
+        joined = flagged.withColumn("__s", shard).join(side.withColumn("__shard", F.explode(shards)).hint("merge"), same(hidden) & (F.col("__s") == F.col("__shard")), how)
+    return joined.select(*[F.col(f"`{c}`") for c in (*rows.columns, *rest)])
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spread: str, count: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` left-joined to the stored ``groups``, one row for each ``key``: broadcast up to ``most`` measured bytes, else ``join_spread``."""
     size = groups.agg(F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()[0] or 0
-    if size <= most:
-        return rows.join(F.broadcast(small), rows[key].eqNullSafe(F.col("__key")), "left").drop("__key")
-    copies = small.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    left = rows.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(shards)).cast("int"))
-    return left.join(copies.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__shard")), "left").drop("__s", "__key", "__shard")
+    if size > most:
+        return join_spread(rows, groups, [key], count, spread)
+    small = groups.withColumnRenamed(key, "__key")
+    return rows.join(F.broadcast(small), F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with boolean ``name``: false where ``key`` is surely not among ``keys`` (true for all that are, and few others).
+
+    One bit for each of 2^26 hashes, at most 8 MB, however many keys there are.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (at % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("__bucket"), "left").withColumn(name, F.coalesce(held, F.lit(False))).drop("__bucket", "__bits")
 
 
 def hashed_sample(rows: DataFrame, key: str, by: str, k: int, groups: int = 64) -> DataFrame:

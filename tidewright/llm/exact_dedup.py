@@ -3,34 +3,33 @@
 A Structured Streaming aggregation keeps, without expiry and in RocksDB, one
 state row for each SHA-256 digest: how many rows had it, the largest document
 id, and where that document's content lies (file and row).  Full bytes are
-then compared for every digest: grouping by digest and text, copies merge
-before the shuffle, and a digest left with two texts (a collision) is grouped
-by the text itself instead.  Everything runs as DataFrame operations.
+checked on hits: rows whose digest has another row (picked out by a filter of
+8 MB, then by the digest) are grouped by digest and text, copies merging before
+the shuffle, and a digest left with two texts (a collision) is grouped by the
+text itself instead.  A row without a hit is its own group and is not shuffled
+with its text.  Everything runs as DataFrame operations.
 
 Defined results: null text counts as empty; empty texts are equal to each
-other; of repeated (id, text) rows all are returned, counted in group_size,
-and ``kept`` marks each that has the kept id; an empty table gives no rows;
-other columns are not looked at, whatever their names.
+other; texts of any length are compared whole; of repeated (id, text) rows all
+are returned, counted in group_size, and ``kept`` marks each that has the kept
+id; null ids are the least; an empty table gives no rows; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_at_exit, shared_dir, stored
+from .common import join_spread, maybe_in, remove_at_exit, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while the stream runs; without fallocate a store takes the disk that it fills.
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.sha2(text, 256)
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), sha.alias("sha"), F.substring(sha, 1, digest_bits // 4).alias("digest"))
-
-
 def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_trigger: int = 1000, checkpoint: str | None = None) -> DataFrame:
     """(digest, n, keep_id, locator) after the stream has read what ``path`` holds now.
 
@@ -42,7 +41,8 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     if not checkpoint:
         remove_at_exit(spark, home)
     schema = spark.read.parquet(path).schema
-    spot = path[:-1] + f"[{path[-1]}]"  # a glob, so that one file serves as well as a folder
+    name = path.rstrip("/")
+    spot = name if re.search(r"[\\{}\[\]*?]", name) else name[:-1] + f"[{name[-1]}]"  # a glob, so that one file serves as well as a folder
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(spot)
     seen = rows.select(id_col, text_col, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -84,18 +84,23 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     Columns: doc_id, keep_id, group_size, kept, text_sha256, locator (file and
     row of the kept document).
     """
-    state = stream_state(spark, path, id_col, text_col, digest_bits, files_per_trigger)
-    docs = _digests(spark.read.parquet(path), id_col, text_col, digest_bits)
-    differ = stored(docs.groupBy("digest", "text").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
-    out = [F.col("doc_id"), F.col("keep_id"), F.col("n").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("locator")]
-    plain = docs.select("doc_id", "sha", "digest").join(state, "digest")
-    if differ.isEmpty():
-        return plain.select(*out)
-    plain = plain.join(differ, "digest", "left_anti")
-    odd = docs.join(differ, "digest", "left_semi")
-    groups = odd.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.lit(None).cast("string").alias("locator"))
-    split = odd.join(groups, ["digest", "text"])
-    return plain.select(*out).union(split.select(*out))
+    hits = stored(stream_state(spark, path, id_col, text_col, digest_bits, files_per_trigger).where("n > 1"))
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
+    docs = spark.read.parquet(path).select(F.col(id_col).alias("doc_id"), text.alias("text"), own.alias("own"), F.sha2(text, 256).alias("sha"))
+    docs = docs.withColumn("digest", F.substring("sha", 1, digest_bits // 4))
+    texts = maybe_in(docs, hits, "digest", "hit").where("hit").groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+    texts = texts.withColumn("sha", F.sha2("text", 256)).select("digest", F.struct("sha", F.length("text").alias("size"), "n", "keep_id").alias("x"))
+    several = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list("x").alias("all")).where("texts > 1")  # collisions, as good as none
+    several = stored(several.join(hits.select("digest"), "digest", "left_semi").select(F.col("digest").alias("d"), F.explode("all").alias("x")).select("d", "x.*"))
+    found = join_spread(docs.select("doc_id", "own", "sha", "digest", F.length("text").alias("size")), hits.withColumnRenamed("keep_id", "top"), ["digest"], "n", "doc_id")
+    groups = found.select("doc_id", "sha", "size", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce("locator", "own").alias("locator"))
+    out = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("locator")]
+    if several.isEmpty():
+        return groups.select(*out)
+    plain = groups.join(several.select(F.col("d").alias("digest")).distinct(), "digest", "left_anti")
+    odd = groups.drop("keep_id", "group_size", "locator").join(several.withColumnsRenamed({"sha": "s", "size": "z"}), (F.col("digest") == F.col("d")) & (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")))
+    odd = odd.withColumn("group_size", F.col("n").cast("long")).withColumn("locator", F.lit(None).cast("string"))
+    return plain.select(*out).union(odd.select(*out))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

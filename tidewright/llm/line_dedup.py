@@ -7,10 +7,15 @@ all pages of that host.  Lines are counted by a 128-bit hash with map-side
 combining.  A host has at most (mean distinct lines a page) / ratio
 boilerplate lines, so its drop list is small, whatever the host's size.
 
+``page_host`` takes the host from an address; ``host`` may be any column or
+expression.
+
 Defined results: lines end at line feeds; blank lines stay and aren't counted;
 null text stays null and is a page without lines; null hosts are one host;
-repeated rows are pages each; ties at exactly ``ratio`` stay; an empty table
-gives no rows; other columns are carried along.
+texts of any length are read whole; repeated rows are pages each; ties at
+exactly ``ratio`` stay; a line on one page of its host stays; an empty table
+gives no rows; other columns are carried along, whatever their names, but for
+those named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_group, stored, table
+from .common import join_by_group, join_spread, stored, table
 
-RATIO, MIN_PAGES = 0.1, 5
+#: A line on a single page is no repeat, whatever its share.
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def line_hash(line: Column) -> Column:
@@ -31,26 +37,33 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, drop: array of line hashes) for hosts that have boilerplate."""
-    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: ~_blank(x)), line_hash))
-    pages = docs.groupBy(host).agg(F.count("*").alias("__pages"))
-    counts = docs.select(host, F.explode(lines).alias("__line")).groupBy(host, "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
-    both = counts.join(pages.withColumnRenamed(host, "__host"), F.col(host).eqNullSafe(F.col("__host")))
-    return both.where(F.col("__n") / F.col("__pages") > ratio).groupBy(host).agg(F.collect_list("__line").alias("__drop"))
+def page_host(url: Column) -> Column:
+    """The host of an address, lower-cased, without port; null for what is no address."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, drop: array of line hashes, pages) for hosts of ``pages`` (host, text) that have boilerplate."""
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: ~_blank(x)), line_hash))
+    hosts = stored(pages.groupBy("host").agg(F.count("*").alias("pages")))
+    counts = pages.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = join_spread(counts, hosts, ["host"], "pages", "line").where(F.col("n") / F.col("pages") > ratio)
+    return often.groupBy("host").agg(F.collect_list("line").alias("drop"), F.first("pages").alias("pages"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and __lines, __dropped: lines before and dropped."""
-    drop = stored(boilerplate(docs, host, text, ratio, min_pages))
-    joined = join_by_group(docs, drop, host, text)
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__drop"), line_hash(x)))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(kept)
-    sized = joined.withColumn("__kept", kept).withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    sized = sized.withColumn("__lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("__lines")).cast("long"))
-    sized = sized.withColumn("__dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__kept")).cast("long"))
-    return sized.select(*[F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns], "__lines", "__dropped")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    pages = docs.select(F.struct(*others).alias("row"), (F.col(host) if isinstance(host, str) else host).alias("host"), F.col(text).alias("text"))
+    drop = stored(boilerplate(pages.select("host", "text"), ratio, min_pages))
+    joined = join_by_group(pages, drop, "host", "text", "pages")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("drop", line_hash(x)))
+    sized = joined.withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(kept))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("__lines")
+    n_dropped = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long").alias("__dropped")
+    columns = [c for c in docs.columns if c not in ("__lines", "__dropped")]
+    return sized.select(*[F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns], n_lines, n_dropped)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

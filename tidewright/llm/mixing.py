@@ -6,14 +6,16 @@ size(s).  The number is found by inverting the distribution at a uniform value
 hashed from the seed and the document id, so a task that runs again, or a run
 on other partitions, gives the same mixture.  Rates over ``PART`` are drawn as
 sums of independent parts.  Every copy gets a hashed place and the copies are
-sorted by place over the whole cluster.
+sorted by place over the whole cluster: places are uniform, so each task takes
+an equal stretch of them and nothing is sampled or computed twice.
 
 Defined results: without ``weights`` source s has a weight of size(s) **
 ``temperature``; sources missing from given weights, or with weight 0, get
 rate 0; null sources are one source (weights name it None); rows with equal
 ids get equal numbers, each row its own copies; null ids count as the text
-'null'; an empty table gives no rows; other columns, null text among them, are
-carried along.
+'null'; texts, null, empty or long, are carried along as they are, like all other
+columns, but for those named like the results, which these replace; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ SEED, TEMPERATURE, PART = "mix-1", 0.7, 16.0
 
 
 def rates(docs: DataFrame, source: str = "source", weights: dict | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
-    """(source, __rate, __parts, __cdf): mean repetitions, and the distribution function of one part of them."""
-    sizes = docs.groupBy(source).agg(F.count("*").alias("__n"))
+    """(source, __n, __rate, __parts, __cdf): rows, mean repetitions, and the distribution function of one part of them."""
+    sizes = docs.select(F.col(source).alias("source")).groupBy("source").agg(F.count("*").alias("__n"))
     if weights is None:
         sizes = sizes.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(temperature)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"__given {dict(docs.dtypes)[source]}, __w double")
-        sizes = sizes.join(given, F.col(source).eqNullSafe(F.col("__given")), "left").drop("__given").fillna(0.0, ["__w"])
+        sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("__given")), "left").drop("__given").fillna(0.0, ["__w"])
     sizes = stored(sizes)
     sums = sizes.agg(F.sum("__n").cast("double").alias("n"), F.sum("__w").alias("w")).first()
     total, weight = float(sums["n"] or 0.0), float(sums["w"] or 0.0)
@@ -48,7 +50,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict | None = None,
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["all"], F.array(acc["c"] + p)).alias("all"))
 
     cdf = F.aggregate(F.sequence(F.lit(1), last), first, step, lambda acc: acc["all"])
-    return sizes.withColumn("__rate", rate).withColumn("__parts", parts).select(source, "__rate", "__parts", cdf.alias("__cdf"))
+    return sizes.withColumn("__rate", rate).withColumn("__parts", parts).select("source", "__n", "__rate", "__parts", cdf.alias("__cdf"))
 
 
 def hashed(*parts):
@@ -59,19 +61,24 @@ def hashed(*parts):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights: dict | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """Copies of ``docs`` in mixed order, with __copy (from 1), __copies and __place (the order's key)."""
-    table_of = stored(rates(docs, source, weights, temperature, epochs))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(id_col).alias("id"))
+    table_of = stored(rates(rows, "source", weights, temperature, epochs))
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
 
     def drawn(part):
         u = hashed(F.lit(seed), key, part.cast("string"))
         return F.size(F.filter("__cdf", lambda c: c <= u))
 
-    joined = join_by_group(docs, table_of, source, id_col)
+    joined = join_by_group(rows, table_of, "source", "row", "__n")
     copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, p: acc + drawn(p))
     found = joined.withColumn("__copies", F.when(F.col("__rate") > 0, copies).otherwise(0).cast("long")).where("__copies > 0")
     found = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     found = found.withColumn("__place", F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("__copy").cast("string")), 256), 1, 16))
-    return found.select(*docs.columns, "__copy", "__copies", "__place").orderBy("__place", id_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor(F.conv(F.substring("__place", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    made = ("__copy", "__copies", "__place")
+    shuffled = found.select("row", "id", *made).repartitionById(parts, stretch).sortWithinPartitions("__place", "id")
+    return shuffled.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, connected_components, freeing, stored, table
+from .common import Stored, connected_components, freeing, join_spread, maybe_in, stored, table
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 BLOCK = 100_000
@@ -86,7 +86,7 @@ def ball(radius: int) -> list[int]:
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id) for distinct (fp, rep): the least rep reachable over links of at most ``radius`` (even) bits."""
+    """(fp, component_id) for those of distinct (fp, rep) that have a link: the least rep reachable over links of at most ``radius`` (even) bits."""
     if radius % 2:
         raise ValueError("radius must be even")
     table_key = F.struct(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias(f"t{k}") for k, m in enumerate(covering_masks(radius))])
@@ -99,15 +99,18 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     least = points.groupBy("point").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
     edges = points.join(least, "point").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     comps = connected_components(edges)
-    return fps.join(comps, fps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return comps.join(fps, comps.node == fps.rep).select("fp", F.col("component").alias("component_id"))
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``."""
     fps = stored(fingerprints(docs, shingle, id_col, text_col))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     linked = link_fingerprints(reps, radius)
-    return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = reps.join(linked.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left").where("n > 1 OR component_id <> rep")
+    groups = stored(groups.select("fp", "n", F.coalesce("component_id", "rep").alias("least")))  # all others are alone
+    found = join_spread(fps, groups, ["fp"], "n", "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,7 @@ def shingle_hashes(text: str | None, shingle: int):
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, same, n, bands, low): fingerprint, name and size of the set of distinct shingles, band keys, least hashes."""
+    """(id, hash, fp, same, n, bands, low): hash of the text, fingerprint, name and size of the set of distinct shingles, band keys, least hashes."""
     bands, lowest, hashes = BANDS, LOWEST, shingle_hashes
 
     def run(batches):
@@ -168,30 +171,30 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             return fp, xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, len(own), keys.tolist(), own[:lowest].view(np.int64).tolist()
 
         for b in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
-            rows = list(zip(*(one(t.as_py()) for t in b.column(1))))
+            rows = list(zip(*(one(t.as_py()) for t in b.column(2))))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(rows, kinds))], ["id", "fp", "same", "n", "bands", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(rows, kinds))], ["id", "hash", "fp", "same", "n", "bands", "low"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), "id long, fp long, same long, n long, bands array<long>, low array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).mapInArrow(freeing(run), "id long, hash long, fp long, same long, n long, bands array<long>, low array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, set): all distinct shingle hashes of each ``wanted`` (rep, same)."""
+    """(rep, set): all distinct shingle hashes of each ``wanted`` (rep, id, hash), read from the row with that id and hash of the text."""
     hashes = shingle_hashes
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         for b in batches:
-            for rep, same, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1)):
                 own = np.unique(hashes(text.as_py(), shingle))
-                if xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 == same:  # else another text under the same id
-                    yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["rep", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["rep", "set"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "same", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    near = maybe_in(texts, wanted, "hash", "wanted").where("wanted").drop("wanted").alias("d")
+    w = wanted.alias("w")
+    found = near.join(w.hint("merge"), F.col("d.hash").eqNullSafe(F.col("w.hash")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select("rep", "text")
     return found.mapInArrow(freeing(run), "rep long, set array<long>").dropDuplicates(["rep"])
 
 
@@ -259,25 +262,31 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     prefix filtering, which misses no pair.  All candidates are verified on their
     whole shingle sets: at once up to LOWEST distinct shingles; of larger sets
     the LOWEST least hashes of the union rule pairs out that are MARGIN below,
-    and the others are compared in full.  Equal sets are merged first.  Texts
-    without words are copies of each other; rows with equal ids stay or go
-    together.
+    and the others are compared in full.  Equal sets are merged first.
+
+    Defined results: null and empty texts, and all without words, are copies of
+    each other; texts of any length are compared whole; of rows with equal ids
+    and texts all stay or go, other texts under one id are judged apart; null
+    ids are the least; an empty table gives no rows; other columns are carried
+    along, whatever their names.
     """
     made = Stored(sketches(docs, shingle, id_col, text_col))
     sk = made.df
-    class_of = sk.groupBy("same", "n").agg(F.min("id").alias("rep"))
-    reps = sk.join(class_of, ["same", "n"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "fp", "same", "n", "bands", "low")
-    reps = stored(reps)
+    class_of = Stored(sk.groupBy("same", "n").agg(F.min(F.struct("id", "hash")).alias("x"), F.count("*").alias("copies")).select("same", "n", "x.*", "copies", F.xxhash64("same", "n").alias("rep")))
+    c = class_of.df.select(*[F.col(k).alias(f"c_{k}") for k in ("same", "n", "id", "hash", "rep")])
+    is_first = (F.col("hash") == F.col("c_hash")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("same") == F.col("c_same")) & (F.col("n") == F.col("c_n"))
+    reps = Stored(sk.join(c.hint("merge"), is_first).select(F.col("c_rep").alias("rep"), "id", "hash", "fp", "n", "bands", "low").dropDuplicates(["rep"]))
     masks = [F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)]
     keys = F.concat(F.col("bands"), F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(masks)]))
-    dealt = reps.where("n > 0").select("rep", F.posexplode(keys).alias("band", "key")).withColumn("order", F.xxhash64("rep", "band"))
+    dealt = reps.df.where("n > 0").select("rep", F.posexplode(keys).alias("band", "key")).withColumn("order", F.xxhash64("rep", "band"))
     buckets = dealt.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(F.struct("order", "rep"))["rep"].alias("centre")).where("members > 1")
-    met = dealt.join(buckets, ["band", "key"]).select("band", "key", "rep", "members", "centre")
-    stars = met.where("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
-    few = met.where(F.col("members").between(3, PAIR_UP)).groupBy("band", "key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
+    buckets = Stored(buckets)
+    met = Stored(join_spread(dealt.select("rep", "band", "key"), buckets.df, ["band", "key"], "members", "rep", "inner"))
+    stars = met.df.where("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+    few = met.df.where(F.col("members").between(3, PAIR_UP)).groupBy("band", "key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
     two = few.select("all", F.explode("all").alias("v")).select("v", F.explode(F.filter("all", lambda x: x > F.col("v"))).alias("u"))
     pairs = stars.union(two.select("u", "v")).distinct()
-    sets = reps.select("rep", "n", "low")
+    sets = reps.df.select("rep", "n", "low")
     left = pairs.join(sets.hint("merge"), F.col("u") == F.col("rep")).select("v", "u", F.col("n").alias("n_u"), F.col("low").alias("low_u"))
     both = left.join(sets.hint("merge"), F.col("v") == F.col("rep"))
     common = F.array_intersect("low_u", "low")
@@ -289,20 +298,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     possible = F.least("n_u", "n") >= F.greatest("n_u", "n") * (similarity - 1e-9)
     judged = Stored(both.where(possible & close).select("u", "v", whole.alias("whole")))
     unsure = judged.df.where(~F.col("whole")).select("u", "v")
-    crowd = Stored(met.where(F.col("members") > PAIR_UP).select("band", "key", "rep"))
+    crowd = Stored(met.df.where(F.col("members") > PAIR_UP).select("band", "key", "rep"))
     wanted = unsure.select(F.col("u").alias("rep")).union(unsure.select("v")).union(crowd.df.select("rep")).distinct()
-    full = Stored(shingle_sets(docs, reps.select("rep", "same").join(wanted, "rep"), shingle, id_col, text_col))
+    full = Stored(shingle_sets(docs, stored(reps.df.select("rep", "id", "hash").join(wanted, "rep")), shingle, id_col, text_col))
     edges = judged.df.where("whole").select("u", "v").union(similar(unsure, full.df, similarity))
     linked = Stored(connected_components(edges))
     placed = crowd.df.join(linked.df, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ones = placed.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "key")
     left_over = placed.join(open_ones, ["band", "key"]).select("rep", "comp").distinct()
     more = similar(crowded_pairs(full.df.join(left_over, "rep"), similarity), full.df, similarity)
-    comps = stored(connected_components(linked.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
-    lost_reps = comps.where("node <> component").select(F.col("node").alias("rep"))
-    classes = sk.select("id", "same", "n").join(class_of, ["same", "n"])
-    lost = classes.where("id <> rep").select("id").union(classes.join(lost_reps, "rep", "left_semi").select("id")).distinct()
-    lost = stored(lost)
-    for x in (made, judged, crowd, full, linked):
+    comps = connected_components(linked.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    named = stored(comps.withColumnRenamed("node", "rep").join(reps.df.select("rep", "id"), "rep"))
+    winners = named.groupBy("component").agg(F.min(F.struct("id", "rep"))["rep"].alias("rep"))
+    gone = named.join(winners.select("rep"), "rep", "left_anti").select("rep", F.lit(True).alias("gone"))
+    verdict = stored(class_of.df.join(gone, "rep", "left").select("same", "n", F.col("id").alias("first"), "copies", F.coalesce("gone", F.lit(False)).alias("gone")))
+    found = join_spread(sk.select("id", "hash", "same", "n"), verdict, ["same", "n"], "copies", "id")
+    lost = stored(found.where(F.col("gone") | ~F.col("id").eqNullSafe(F.col("first"))).select("id", "hash").distinct())
+    for x in (made, class_of, reps, buckets, met, judged, crowd, full, linked):
         x.drop()
-    return docs.join(lost, docs[id_col] == lost["id"], "left_anti")
+    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["id"]) & (F.xxhash64(docs[text_col]) == lost["hash"]), "left_anti")
