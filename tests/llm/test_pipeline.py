@@ -18,3 +18,17 @@ def test_stages(spark, documents, tmp_path):
     assert ids["mixing"] <= ids["simhash_near_dedup"] and ids["packing"] == ids["mixing"]
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, seen["packing"].collect()))
+
+
+def test_stages_with_odd_rows_and_further_columns(spark, documents, tmp_path):
+    """Clashing names, nulls in any column, a long text, repeated rows, and no rows at all."""
+    rows = [(i, f"This is the text number {i} and it has more words {i * 7} than needed.\nPage header", None if i % 9 == 0 else "en", None if i % 7 == 0 else "b") for i in range(60)]
+    rows += [(100, None, None, None), (101, "", "en", "b"), (102, "long words " * 30_000, "en", "b"), (5, rows[5][1], "en", "b"), (None, rows[6][1], "en", "b")]
+    names = {"kind": "score", "a": "lang_pred", "row": "__copies", "n": "__s"}
+    for table, empty in ((documents(rows), False), (documents([]), True)):
+        docs = table.withColumnsRenamed(names)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns or name == "packing"
+            assert docs.isEmpty() == empty

@@ -206,8 +206,8 @@ def training_rows(docs: DataFrame, keep, docs_per_lang: int = DOCS_PER_LANG) ->
     return [(r["text"], r["by"]) for r in hashed_sample(rows, "key", "by", docs_per_lang, LANGUAGES).orderBy("by", "key").collect()]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict | None], id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score); with ``keep_columns`` the columns of ``docs`` as well."""
+def predict(docs: DataFrame, model: tuple[list[str], dict | None], id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(doc_id, lang_pred, score); with ``keep_columns`` the columns of ``docs`` as well, but for those named like the ``results``."""
     names, net = model
     sums_of, und, window, context = window_sums, UND, WINDOW, CONTEXT
 
@@ -256,11 +256,11 @@ def predict(docs: DataFrame, model: tuple[list[str], dict | None], id_col: str =
                     score[letters] = np.minimum(p.max(0), 1.0)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != 1 or keep_columns), pa.array(best.tolist(), pa.string()), pa.array(score, pa.float64())], out_names)
 
-    rest = [c for c in docs.columns if c not in (id_col, text_col)] if keep_columns else []
+    rest = [c for c in docs.columns if c not in (id_col, text_col, *results)] if keep_columns else []
     chosen = docs.select(id_col, text_col, *rest)
     kinds = dict(chosen.dtypes)
     fields = [(id_col if keep_columns else "doc_id", kinds[id_col])] + ([(c, kinds[c]) for c in (text_col, *rest)] if keep_columns else [])
-    fields += [("lang_pred", "string"), ("score", "double")]
+    fields += [(results[0], "string"), (results[1], "double")]
     out_names = [n for n, _ in fields]
     return chosen.mapInArrow(freeing(run), ", ".join(f"`{n}` {t}" for n, t in fields))
 
