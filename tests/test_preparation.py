@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import cleaning, engineering, latency, linear, resampling, validation
+from tidewright.operators import cleaning, engineering, latency, linear, quantiles, resampling, validation
 from tidewright.operators.ordered import over_last_rows, prefix_sums, with_ordinal
 from tidewright.plans import cli, telemetry
 from tidewright.plans.config import POSITIVE, PipelineConfig, adjusted_sizes
@@ -196,3 +197,71 @@ def test_correlations_over_complete_pairs(spark):
     want = df.toPandas().corr().fillna(0.0)
     for (x, y), r in engineering.correlations(df, ["a", "b", "c", "k"]).items():
         assert math.isclose(r, want.loc[x, y], abs_tol=1e-12)
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Against sorted values: ties, outliers as wide as doubles go, nulls, NaN, one value and none; with values fetched only at the end."""
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    monkeypatch.setattr(quantiles, "BUCKETS", 4)
+    rng = np.random.default_rng(0)
+    columns = {"a": rng.normal(size=400).tolist(), "b": rng.integers(0, 3, 400).astype(float).tolist(), "c": [*rng.normal(size=396).tolist(), 1.7e308, -1.7e308, None, float("nan")], "d": [None] * 400, "e": [5.0] + [None] * 399}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = quantiles.exact_quantiles(df, {c: F.col(c) for c in columns}, [0.0, 0.25, 0.5, 0.95, 1.0])
+    for c, values in columns.items():
+        own = [v for v in values if v is not None and v == v]
+        want = [None] * 5 if not own else [np.quantile(np.sort(own), q) for q in (0.0, 0.25, 0.5, 0.95, 1.0)]
+        assert all((a is None and b is None) or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-15) for a, b in zip(got[c], want))
+    assert quantiles.exact_quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": [None]}
+
+
+def test_least_norm_of_dependent_features(spark):
+    """Against numpy on all rows: dependent, constant and far-off columns, with and without the intercept in the norm."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3)) * [1.0, 100.0, 0.01] + [0.0, 5000.0, 3.0]
+    x = np.column_stack([x, x[:, 0] + x[:, 2], np.full(200, 7.0), np.zeros(200)])
+    y = x @ rng.normal(size=6) + rng.normal(size=200)
+    names = [f"f{k}" for k in range(6)]
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], ", ".join(f"{n} double" for n in (*names, "y")))
+    one = np.column_stack([np.ones(200), x])
+    model = linear.fit_linear(df, names, "y")
+    assert np.allclose([model.intercept, *model.coefficients], np.linalg.lstsq(one, y, rcond=1e-9)[0], rtol=1e-4, atol=1e-6)
+    model = linear.fit_linear(df, names, "y", centred=True)
+    w = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-12)[0]
+    assert np.allclose(model.coefficients, w, rtol=1e-6, atol=1e-8) and math.isclose(model.intercept, y.mean() - x.mean(0) @ w, rel_tol=1e-6)
+    got = linear.evaluate_split(with_ordinal(df), names, "y")
+    assert got["r2"] > 0.5 and got["rmse"] > 0
+
+
+def test_fitted_preprocessor_is_saved_and_loaded(spark, raw, tmp_path):
+    fitted = engineering.FittedPreprocessor().fit(raw)
+    path = str(tmp_path / "model" / "fitted.json")
+    fitted.save(spark, path)
+    again = engineering.FittedPreprocessor.load(spark, path)
+    assert again.feature_columns == fitted.feature_columns
+    assert sorted(map(repr, again.transform(raw).collect())) == sorted(map(repr, fitted.transform(raw).collect()))
+    with pytest.raises(ValueError):
+        engineering.FittedPreprocessor().save(spark, path)
+
+
+def test_the_order_of_files_is_that_of_their_names(spark, tmp_path):
+    for k, n in enumerate((3, 40, 1, 25)):
+        (tmp_path / f"part{k}.csv").write_text("version,team\n" + "".join(f"S{k},t{i}\n" for i in range(n)), encoding="utf-8")
+    rows = readers.load_in_order(spark, str(tmp_path)).orderBy(ROW_ID).collect()
+    assert [(r["version"], r["team"]) for r in rows] == [(f"S{k}", f"t{i}") for k, n in enumerate((3, 40, 1, 25)) for i in range(n)]
+    assert [r[ROW_ID] for r in rows] == list(range(69))
+
+
+def test_wide_text_is_no_category(spark):
+    df = spark.range(30).selectExpr("CAST(id AS STRING) AS t", "CAST(id AS DOUBLE) AS salary")
+    with pytest.raises(ValueError):
+        engineering.transform_frame(df, max_categories=20)
+
+
+def test_hashed_statistics_behave(spark):
+    df = spark.range(2000).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS v", "CAST(id % 2 AS INT) AS s")
+    got = resampling.poisson_bootstrap(df, "v", "id").first()
+    assert abs(got["mean"] - 4.5) < 0.05 and got["ci95_low"] < 4.5 < got["ci95_high"] and got["ci95_high"] - got["ci95_low"] < 0.4
+    same = df.where("id < 60")
+    assert resampling.hashed_permutation_test(same.withColumn("v", F.col("v") * 0 + F.col("id") % 3), "v", "s", "id", n_perm=200).first()["p_value"] > 0.2
+    assert resampling.hashed_permutation_test(same.withColumn("v", F.col("s") * 9.0 + F.col("id") % 3), "v", "s", "id", n_perm=200).first()["p_value"] < 0.01
+    assert resampling.hashed_permutation_test(same.limit(0), "v", "s", "id").first()["p_value"] == 1.0

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidewright.operators.ordered import with_ordinal
 from tidewright.plans import registry
 from tidewright.plans.config import PipelineConfig
-from tidewright.plans.runner import PipelineRunner
+from tidewright.plans.runner import STAGES, OnlineLinear, PipelineRunner
 
 
 def records(spark, n):
@@ -26,6 +27,27 @@ def test_streaming_run(spark, tmp_path):
     assert all(m["spill_paths"] for m in got["chunk_metrics"]) and got["model"]["online_learning"]
 
 
+def test_a_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    """The chunk that failed is handled again, from the state before it; the end is that of an undisturbed run."""
+    rows, config = with_ordinal(records(spark, 90)), PipelineConfig(chunk_size=32, output_dir=tmp_path)
+    whole = PipelineRunner(spark, config).run_streaming(rows, home=str(tmp_path / "whole"))
+    runner, learn, calls = PipelineRunner(spark, config), OnlineLinear.partial_fit, []
+
+    def failing(self, x, y):
+        calls.append(len(y))
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        learn(self, x, y)
+
+    monkeypatch.setattr(OnlineLinear, "partial_fit", failing)
+    with pytest.raises(Exception, match="lost"):
+        runner.run_streaming(rows, home=str(tmp_path / "broken"))
+    again = runner.run_streaming(rows, home=str(tmp_path / "broken"))
+    assert calls == [32, 32, 32, 26] and [m["rows"] for m in again["chunk_metrics"]] == [32, 32, 26]
+    assert abs(again["model"]["prequential_rmse"] - whole["model"]["prequential_rmse"]) < 1e-6 * whole["model"]["prequential_rmse"]
+    assert all(m["input_bytes"] > 0 and set(m["operator_profile_s"]) == set(STAGES) for m in again["chunk_metrics"])
+
+
 def test_memory_limit_makes_chunks_smaller_and_keeps_every_row(spark):
     got = PipelineRunner(spark, PipelineConfig(chunk_size=300, max_memory_mb=1, max_chunk_retries=1)).run_streaming(records(spark, 50))
     assert got["rows"] == 50 and got["chunk_metrics"][0]["memory_exceeded"] and got["chunk_metrics"][1]["retries"] <= 1
@@ -49,13 +71,13 @@ def test_registry_is_whole():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["clean_records", "ks_drift", "rolling5_mean", "onehot", "detection_latency"])
+@pytest.mark.parametrize("name", ["clean_records", "ks_drift", "rolling5_mean", "onehot", "detection_latency", "quality_report", "dataset_fingerprint", "bootstrap_ci", "permutation_pvalue", "ols_many_features"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
     try:
-        for t in ("orders", "events"):
+        for t in ("orders", "events", "customer", "lineitem"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     except duckdb.Error:
         pytest.skip("no test tables here")

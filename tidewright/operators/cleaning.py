@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import clean as C
+from tidewright.operators.quantiles import exact_quantiles
 from tidewright.schema import numeric_columns, quoted, text_columns
 
 
@@ -27,14 +28,15 @@ def clean_records(df: DataFrame, strict: bool = False) -> DataFrame:
 def impute(df: DataFrame, strategy: str = "median", numeric: list[str] | None = None, text: list[str] | None = None) -> DataFrame:
     """Numbers by their median, mean, or 0 (any other strategy); text by Unknown_<column>.
 
-    All statistics come from one aggregation.  A column without any value stays null for median and mean.
+    All columns share their passes.  A column without any value stays null for median and mean.
     """
     numeric = numeric_columns(df) if numeric is None else numeric
     text = text_columns(df) if text is None else text
     fill: dict[str, object] = {}
-    if numeric and strategy in ("median", "mean"):
-        of = F.median if strategy == "median" else F.avg
-        fill = df.agg(*[of(F.col(quoted(c)).cast("double")).alias(f"s{k}") for k, c in enumerate(numeric)]).first().asDict()
+    if numeric and strategy == "median":
+        fill = {c: q[0] for c, q in exact_quantiles(df, {c: F.col(quoted(c)) for c in numeric}, [0.5]).items()}
+    elif numeric and strategy == "mean":
+        fill = df.agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(f"s{k}") for k, c in enumerate(numeric)]).first().asDict()
         fill = {c: fill[f"s{k}"] for k, c in enumerate(numeric)}
     elif numeric:
         fill = dict.fromkeys(numeric, 0.0)
@@ -58,10 +60,8 @@ def clean(df: DataFrame, strategy: str = "median") -> DataFrame:
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None, multiplier: float = 1.5) -> dict[str, tuple[float, float]]:
     """Lower and upper fence of each numeric column with values, by exact interpolated quartiles."""
     columns = numeric_columns(df) if columns is None else columns
-    if not columns:
-        return {}
-    got = df.agg(*[F.percentile(F.col(quoted(c)).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{k}") for k, c in enumerate(columns)]).first()
-    return {c: (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0])) for k, c in enumerate(columns) if (q := got[f"q{k}"])}
+    got = exact_quantiles(df, {c: F.col(quoted(c)) for c in columns}, [0.25, 0.75])
+    return {c: (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0])) for c, q in got.items() if q[0] is not None}
 
 
 def outlier_mask(bounds: dict[str, tuple[float, float]]) -> Column:
@@ -75,6 +75,3 @@ def outlier_mask(bounds: dict[str, tuple[float, float]]) -> Column:
 
 def with_outliers(df: DataFrame, columns: list[str] | None = None, multiplier: float = 1.5, name: str = "is_outlier") -> DataFrame:
     return df.withColumn(name, outlier_mask(iqr_bounds(df, columns, multiplier)))
-
-
-

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import features as X
 from tidewright.operators.cleaning import clean_records
 from tidewright.operators.ordered import over_last_rows, with_ordinal
+from tidewright.operators.quantiles import exact_quantiles
 from tidewright.schema import ROW_ID, numeric_columns, quoted, text_columns
 from tidewright.sources.readers import with_chunks
-from tidewright.storage import stored
+from tidewright.storage import read_json, stored, write_json
 
 TARGET = "salary"
 RAW_ONLY = ("version", "b_day", "draft_year", "weight", "height")
@@ -196,13 +197,12 @@ class Encoding:
 
 
 def fit_encoding(df: DataFrame, numeric: list[str], text: list[str]) -> Encoding:
-    """Two aggregations for numbers (median; then mean and deviation after filling), one for all categories of text."""
+    """Shared passes for all medians, one for mean and deviation after filling, one for all categories of text."""
     medians: dict = {}
     means: dict = {}
     stds: dict = {}
     if numeric:
-        got = df.agg(*[F.median(F.col(quoted(c)).cast("double")).alias(f"m{k}") for k, c in enumerate(numeric)]).first()
-        medians = {c: got[f"m{k}"] for k, c in enumerate(numeric)}
+        medians = {c: q[0] for c, q in exact_quantiles(df, {c: F.col(quoted(c)) for c in numeric}, [0.5]).items()}
         filled = {c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(medians[c]).cast("double")) for c in numeric}
         got = df.agg(*[F.avg(v).alias(f"a{k}") for k, v in enumerate(filled.values())], *[F.stddev_pop(v).alias(f"s{k}") for k, v in enumerate(filled.values())]).first()
         means = {c: got[f"a{k}"] for k, c in enumerate(numeric)}
@@ -233,10 +233,16 @@ def model_frame(df: DataFrame, strict: bool = False) -> DataFrame:
     return drop_high_cardinality(made.drop("__year", *RAW_ONLY))
 
 
-def transform_frame(df: DataFrame, target: str = TARGET) -> DataFrame:
-    """Scaled numbers and bare-named one-hot text of an engineered table, with the target."""
+def transform_frame(df: DataFrame, target: str = TARGET, max_categories: int = 10_000) -> DataFrame:
+    """Scaled numbers and bare-named one-hot text of an engineered table, with the target.
+
+    Text of over ``max_categories`` values is an error, found before any value is fetched.
+    """
     placed = df if ROW_ID in df.columns else with_ordinal(df)
-    fitted = fit_encoding(placed, [c for c in numeric_columns(placed) if c != target], text_columns(placed))
+    texts = text_columns(placed)
+    if wide := [c for c in texts if c not in drop_high_cardinality(placed.select(*[F.col(quoted(c)) for c in texts]), max_categories + 1).columns]:
+        raise ValueError(f"over {max_categories} categories: {wide}")
+    fitted = fit_encoding(placed, [c for c in numeric_columns(placed) if c != target], texts)
     return placed.select(ROW_ID, *fitted.columns(set(placed.columns), named=False), F.col(target))
 
 
@@ -271,3 +277,17 @@ class FittedPreprocessor:
         placed = df if ROW_ID in df.columns else with_ordinal(df)
         return self.fit(placed).transform(placed)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Thresholds, columns and statistics as JSON at ``path``."""
+        if self.encoding is None:
+            raise ValueError("fit() comes before save()")
+        write_json(spark, path, {"threshold": self.threshold, "feature_columns": self.feature_columns, "encoding": asdict(self.encoding)})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedPreprocessor:
+        held = read_json(spark, path)
+        if held is None:
+            raise FileNotFoundError(path)
+        out = cls(held["threshold"])
+        out.feature_columns, out.encoding = held["feature_columns"], Encoding(**held["encoding"])
+        return out

@@ -27,40 +27,81 @@ class LinearModel:
 
 
 def _moments(df: DataFrame, features: list[str], target: str, group: Column | None = None) -> dict:
-    """[1, x, y]' [1, x, y] by group, summed on the executors: (p+2)(p+3)/2 numbers a group.
+    """[1, x, y]' [1, x, y] by group: each task multiplies its rows batch by batch, and (p+2)(p+3)/2 sums a group meet.
 
-    The products go through arrays, a fixed number of expressions whatever p is wide.
+    Null counts as 0.  x and y are taken about their overall means, so that sums
+    keep their digits; ``_moved`` undoes it.
     """
-    names = ["one", *features, target]
-    p = len(names)
-    cells = [F.lit(1.0), *[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)) for c in (*features, target)]]
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    keyed = df.select((F.lit(0) if group is None else group).alias("g"), *[c.alias(f"x{k}") for k, c in enumerate(cells)])
-    sums = keyed.groupBy("g").agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in upper])
-    out = {}
-    for r in sums.collect():
-        m = np.zeros((p, p))
-        for i, j in upper:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r["g"]] = m
-    return out
-
-
-def _solve(m: np.ndarray, centred: bool = False) -> np.ndarray:
-    """Minimum-norm coefficients (intercept first) from a moment matrix; ``centred`` leaves the intercept out of the norm."""
-    a, b = m[:-1, :-1], m[:-1, -1]
+    cells = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)) for c in (*features, target)]
+    means = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cells)]).first()
+    shift = np.array([0.0, *[m or 0.0 for m in means]])
+    keyed = df.select((F.lit(0) if group is None else group).cast("long").alias("g"), *[(c - F.lit(float(m))).alias(f"x{k}") for k, (c, m) in enumerate(zip(cells, shift[1:]))])
+    p = len(cells) + 1
+    upper = np.triu_indices(p)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(k).to_numpy(zero_copy_only=False) for k in range(1, p)]])
+            g = b.column(0).to_numpy(zero_copy_only=False)
+            for one in np.unique(g).tolist():
+                own = x[g == one]
+                sums[one] = sums.get(one, 0) + (own.T @ own)[upper]
+        for one, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([one] * len(values), pa.int64()), pa.array(np.arange(len(values))), pa.array(values)], ["g", "cell", "s"])
+
+    out: dict = {}
+    for r in keyed.where("g IS NOT NULL").mapInArrow(run, "g long, cell long, s double").groupBy("g", "cell").agg(F.sum("s").alias("s")).collect():
+        m = out.setdefault(r["g"], np.zeros((p, p)))
+        i, j = upper[0][r["cell"]], upper[1][r["cell"]]
+        m[i, j] = m[j, i] = r["s"]
+    return {g: (m, shift) for g, m in out.items()}
+
+
+def _moved(m: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The moments about zero of columns whose moments about ``shift`` are ``m``."""
+    t = np.eye(len(shift))
+    t[0] = shift
+    t[0, 0] = 1.0
+    return t.T @ m @ t
+
+
+def _least_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of least norm of a w = b for a Gram matrix; its rank is judged with all columns scaled to one length."""
+    size = np.sqrt(np.diag(a))
+    size[size == 0] = 1.0
+    values, vectors = np.linalg.eigh(a / np.outer(size, size))
+    keep = values > max(values.max(initial=0.0), 0.0) * 1e-10
+    w = (vectors[:, keep] @ ((vectors[:, keep].T @ (b / size)) / values[keep])) / size
+    free = vectors[:, ~keep] / size[:, None]
+    if free.size:
+        q, _ = np.linalg.qr(free)
+        w -= q @ (q.T @ w)
+    return w
+
+
+def _solve(moments: tuple[np.ndarray, np.ndarray], centred: bool = False) -> np.ndarray:
+    """Coefficients of least norm (intercept first); ``centred`` leaves the intercept out of the norm."""
+    m, shift = moments
     if not centred:
-        return np.linalg.pinv(a, hermitian=True) @ b
-    n = a[0, 0]
-    mean, my = a[0, 1:] / n, b[0] / n
-    w = np.linalg.pinv(a[1:, 1:] - n * np.outer(mean, mean), hermitian=True) @ (b[1:] - n * mean * my)
-    return np.concatenate([[my - mean @ w], w])
+        whole = _moved(m, shift)
+        return _least_norm(whole[:-1, :-1], whole[:-1, -1])
+    n = m[0, 0]
+    mean = m[0, 1:] / n
+    c = m[1:, 1:] - n * np.outer(mean, mean)
+    w = _least_norm(c[:-1, :-1], c[:-1, -1])
+    at = mean + shift[1:]
+    return np.concatenate([[at[-1] - at[:-1] @ w], w])
 
 
-def _measures(m: np.ndarray, beta: np.ndarray) -> tuple[float, float]:
+def _measures(moments: tuple[np.ndarray, np.ndarray], beta: np.ndarray) -> tuple[float, float]:
     """(rmse, r2) of coefficients on the rows that a moment matrix sums up."""
+    m, shift = moments
     n, syy, sy = m[0, 0], m[-1, -1], m[0, -1]
-    rss = max(float(beta @ m[:-1, :-1] @ beta - 2 * beta @ m[:-1, -1] + syy), 0.0)
+    about = np.array([beta[0] + shift[1:-1] @ beta[1:] - shift[-1], *beta[1:], -1.0])  # the error, from shifted columns
+    rss = max(float(about @ m @ about), 0.0)
     total = syy - sy * sy / n if n else 0.0
     return (float(np.sqrt(rss / n)) if n else 0.0), (float(1 - rss / total) if total > 0 else 0.0)
 
@@ -92,10 +133,10 @@ def cross_validate(df: DataFrame, features: list[str], target: str, n_splits: in
     placed = df if fold is not None or ROW_ID in df.columns else with_ordinal(df)
     own = fold_by_hash(n_splits, seed) if fold is None else fold
     moments = _moments(placed, features, target, own)
-    if sum(m[0, 0] for m in moments.values()) < n_splits:
+    if sum(m[0, 0] for m, _ in moments.values()) < n_splits:
         raise ValueError("more folds than rows")
-    total = sum(moments.values())
-    betas = {k: _solve(total - m) for k, m in moments.items()}
+    total = sum(m for m, _ in moments.values())
+    betas = {k: _solve((total - m, shift)) for k, (m, shift) in moments.items()}
     error = None
     for k, beta in betas.items():
         model = LinearModel(tuple(features), float(beta[0]), tuple(map(float, beta[1:])))
@@ -105,7 +146,7 @@ def cross_validate(df: DataFrame, features: list[str], target: str, n_splits: in
     folds = []
     for k in sorted(moments):
         rmse, r2 = _measures(moments[k], betas[k])
-        folds.append({"fold": int(k), "rows": int(moments[k][0, 0]), "rmse": rmse, "mae": float(maes[k]), "r2": r2})
+        folds.append({"fold": int(k), "rows": int(moments[k][0][0, 0]), "rmse": rmse, "mae": float(maes[k]), "r2": r2})
     out: dict = {"folds": folds}
     for name in ("rmse", "mae", "r2"):
         values = [f[name] for f in folds]

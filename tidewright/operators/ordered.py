@@ -38,9 +38,18 @@ def prefix_sums(df: DataFrame, order: list[str] | None, sums: dict[str, Column])
 
 
 def with_ordinal(df: DataFrame, order: list[str] | None = None, name: str = ROW_ID) -> DataFrame:
-    """``df`` with a dense ordinal from 0 in ``order``."""
-    numbered = prefix_sums(df, order, {name: F.lit(1)})
-    return numbered.withColumn(name, (F.col(name) - 1).cast("long"))
+    """``df`` with a dense ordinal from 0 in ``order``, else in the order in which partitions are read.
+
+    A stored row knows its place in its partition; one small row for each
+    partition says how many rows are before it.  Nothing is shuffled again.
+    """
+    rows = _sorted(df, order)
+    place = F.col(AT).bitwiseAND(F.lit((1 << 33) - 1))  # monotonically_increasing_id holds the partition above bit 33
+    sizes = rows.groupBy(PART).agg(F.count("*").alias("__rows"))
+    before = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    offsets = sizes.select(F.col(PART).alias("__p"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    numbered = rows.join(F.broadcast(offsets), F.col(PART) == F.col("__p"))
+    return numbered.select(*[F.col(quoted(c)) for c in df.columns], (F.col("__before") + place).cast("long").alias(name))
 
 
 def over_last_rows(df: DataFrame, width: int, columns: dict, ordinal: str = ROW_ID, block: int = 65_536) -> DataFrame:

@@ -58,14 +58,14 @@ def schema_issues(df: DataFrame, required: list[str], money_column: str = "salar
 def ks_by_key(values: DataFrame) -> DataFrame:
     """(key, ks): greatest distance of the two sides' distribution functions, for (key, v, side 0 or 1).
 
-    Equal values are counted first; running counts go over range partitions, so
-    no key needs a task of its own.  Null values are left out; an empty side gives 0.
+    Keys are names of columns, so there are few.  Equal values are counted first;
+    running counts go over range partitions, so no key needs a task of its own.  Null values are left out; an empty side gives 0.
     """
     counts = values.where("v IS NOT NULL").groupBy("key", "v").agg(F.sum(1 - F.col("side")).alias("b"), F.sum("side").alias("c"))
     totals = counts.groupBy("key").agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
     run = prefix_sums(counts, ["key", "v"], {"cb": F.col("b"), "cc": F.col("c")})
     starts = run.groupBy("key").agg(F.min(F.struct("v", (F.col("cb") - F.col("b")).alias("b0"), (F.col("cc") - F.col("c")).alias("c0"))).alias("s"))
-    each = run.join(totals.join(starts, "key"), "key")
+    each = run.join(F.broadcast(totals.join(starts, "key")), "key")  # one row a column
     gap = F.abs((F.col("cb") - F.col("s.b0")) / F.nullif("nb", F.lit(0)) - (F.col("cc") - F.col("s.c0")) / F.nullif("nc", F.lit(0)))
     return each.groupBy("key").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
@@ -79,7 +79,7 @@ def numeric_drift(both: DataFrame, columns: list[str], read: dict[str, Column] |
     entries = F.array(*[F.struct(F.lit(c).alias("key"), ((read or {}).get(c, F.col(quoted(c))).cast("double")).alias("v")) for c in columns])
     long = both.select("side", F.explode(entries).alias("e")).select("side", "e.key", "e.v")
     means = long.groupBy("key").agg(F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("mb"), F.avg(F.when(F.col("side") == 1, F.col("v"))).alias("mc"))
-    joined = ks_by_key(long).join(means, "key").where("mb IS NOT NULL AND mc IS NOT NULL")
+    joined = ks_by_key(long).join(F.broadcast(means), "key").where("mb IS NOT NULL AND mc IS NOT NULL")
     return joined.select(F.col("key").alias("column"), F.col("ks").alias("ks_like"), (F.col("mc") - F.col("mb")).alias("mean_shift"))
 
 
@@ -90,7 +90,7 @@ def categorical_drift(both: DataFrame, columns: list[str]) -> DataFrame:
     counts = long.groupBy("key", "v").agg(F.sum(1 - F.col("side")).alias("b"), F.sum("side").alias("c"))
     totals = counts.groupBy("key").agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
     share = lambda n, of: F.coalesce(F.col(n) / F.nullif(of, F.lit(0)), F.lit(0.0))
-    return counts.join(totals, "key").groupBy(F.col("key").alias("column")).agg(F.sum(F.abs(share("b", "nb") - share("c", "nc"))).alias("l1_drift"))
+    return counts.join(F.broadcast(totals), "key").groupBy(F.col("key").alias("column")).agg(F.sum(F.abs(share("b", "nb") - share("c", "nc"))).alias("l1_drift"))
 
 
 def split_halves(df: DataFrame, order: list[str] | None = None) -> DataFrame:

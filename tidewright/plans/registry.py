@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +14,8 @@ from tidewright.functions import clean as C
 from tidewright.functions import features as X
 from tidewright.operators import cleaning, engineering, latency, linear, resampling, validation
 from tidewright.operators.ordered import with_ordinal
-from tidewright.plans.config import adjusted_sizes
+from tidewright.plans import runner
+from tidewright.plans.config import PipelineConfig, adjusted_sizes
 from tidewright.schema import ROW_ID
 from tidewright.sources import readers, sinks
 from tidewright.storage import shared_dir
@@ -331,17 +337,35 @@ def encode_and_scale(spark, sf_dir):
     return out.withColumn("price", F.round("price", 6))
 
 
-@query()
+TEXTS = {"team": (*PRIORITIES, "No Team"), "country": ("USA", "Not-USA"), "draft_round": ("0", "1", "2")}
+TEXTS_SQL = ", ".join(f"""CAST({c} = '{v}' AS INTEGER) AS "{c}__{v}\"""" for c, values in TEXTS.items() for v in values)
+
+
+def _scaled_sql(columns: list[str]) -> str:
+    return ", ".join(f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) + 0.0 AS {c}" for c in columns)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c != "salary" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+#: The columns are those that pruning leaves at sf0.01.
+@query(f"""WITH f AS (SELECT record_id, row_number() OVER (ORDER BY version_year, record_id) - 1 AS "_row_id", version_year - year(draft_year) AS experience, month(b_day) AS birth_month, year(draft_year) // 10 * 10 AS draft_decade,
+    avg(salary) OVER w AS salary_roll_mean, coalesce(stddev_samp(salary) OVER w, 0) AS salary_roll_std, CAST(abs((salary - m) / s) > 2.5 AS INTEGER) AS salary_anomaly, team, country, draft_round, salary
+    FROM ({FEATURES_SQL}), (SELECT avg(salary) AS m, stddev_pop(salary) AS s FROM ({FILLED_SQL})) WINDOW w AS (ORDER BY version_year, record_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+  SELECT "_row_id", {_scaled_sql(["experience", "birth_month", "draft_decade", "salary_roll_mean", "salary_roll_std", "salary_anomaly"])}, {TEXTS_SQL}, salary FROM f""")
 def process_records(spark, sf_dir):
     """The whole preparation over raw records: clean, features, pruning, encoding."""
     placed = with_ordinal(raw_records(spark, sf_dir), ["record_id"]).drop("record_id")
-    return engineering.prepare(cleaning.clean(placed))
+    return _rounded(engineering.prepare(cleaning.clean(placed)))
 
 
-@query()
+@query(f"""WITH f AS (SELECT row_number() OVER (ORDER BY record_id) - 1 AS "_row_id", {YEAR_SQL} - year(draft_year) AS experience, weight / (height * height) AS bmi, team, country, draft_round, salary FROM ({CLEAN_SQL})),
+  g AS (SELECT f.* REPLACE (coalesce(bmi, middle) AS bmi) FROM f, (SELECT median(bmi) AS middle FROM f))
+  SELECT "_row_id", {_scaled_sql(["experience", "bmi"])}, {TEXTS_SQL}, salary FROM g""")
 def fitted_transform(spark, sf_dir):
     placed = with_ordinal(raw_records(spark, sf_dir), ["record_id"]).drop("record_id")
-    return engineering.FittedPreprocessor().fit_transform(placed)
+    return _rounded(engineering.FittedPreprocessor().fit_transform(placed))
 
 
 @query("""SELECT c_custkey, 0.0::DOUBLE AS missing, c_acctbal FROM customer""")
@@ -363,6 +387,15 @@ def schema_check(spark, sf_dir):
     return spark.createDataFrame([(i,) for i in issues], "issue string")
 
 
+@query(f"""WITH p AS (SELECT {NULLED} AS v FROM orders), q AS (SELECT quantile_cont(v, CAST(0.25 AS DOUBLE)) AS q1, quantile_cont(v, CAST(0.75 AS DOUBLE)) AS q3 FROM p),
+  r AS (SELECT avg(CAST(coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false) AS DOUBLE)) AS rate, avg(CAST(v IS NULL AS DOUBLE)) AS missing FROM p, q)
+  SELECT name AS column, round(missing, 9) AS missing_ratio, round(rate, 9) AS outlier_rate, true AS schema_ok FROM r, (VALUES ('price'), ('priority')) c(name)""")
+def quality_report(spark, sf_dir):
+    got = validation.quality_report(nulled(spark, sf_dir).select("price", "priority"), ["price"])
+    rows = [(c, round(v, 9), round(got.outlier_rate, 9), got.schema_ok) for c, v in got.missing_ratio.items()]
+    return spark.createDataFrame(rows, "column string, missing_ratio double, outlier_rate double, schema_ok boolean")
+
+
 HALVES = "SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) > (SELECT count(*) // 2 FROM orders) AS INTEGER) AS side FROM orders"
 
 
@@ -421,9 +454,14 @@ def fingerprint_rows(spark, sf_dir):
     return readers.ordered_digest(read(spark, sf_dir, "nation"), ["n_nationkey"], ["n_nationkey", "n_name", "n_regionkey"])
 
 
-@query()
+KEYED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(f"""WITH d AS (SELECT sha256(concat_ws(chr(31), {", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in KEYED)})) AS h FROM orders),
+  w AS (SELECT count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS w{k}" for k in range(8))} FROM d)
+  SELECT sha256(concat_ws('|', '{",".join(KEYED)}', CAST(n AS VARCHAR), {", ".join(f"CAST(w{k} AS VARCHAR)" for k in range(8))})) AS sha256, n AS n_rows, CAST({len(KEYED)} AS INTEGER) AS n_columns FROM w""")
 def dataset_fingerprint(spark, sf_dir):
-    got = readers.fingerprint(read(spark, sf_dir, "orders"))
+    got = readers.fingerprint(read(spark, sf_dir, "orders").select(*KEYED))
     return spark.createDataFrame([(got.sha256, got.rows, got.columns)], "sha256 string, n_rows long, n_columns int")
 
 
@@ -443,6 +481,20 @@ def ols_predict(spark, sf_dir):
     return out.select("o_orderkey", F.round("prediction", 3).alias("prediction"))
 
 
+PLANE = """SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, (covar_pop(y, a) * var_pop(b) - covar_pop(y, b) * covar_pop(a, b)) / (var_pop(a) * var_pop(b) - covar_pop(a, b) ** 2) AS wa,
+  (covar_pop(y, b) * var_pop(a) - covar_pop(y, a) * covar_pop(a, b)) / (var_pop(a) * var_pop(b) - covar_pop(a, b) ** 2) AS wb FROM t"""
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem), m AS ({PLANE})
+  SELECT l_orderkey, l_linenumber, round(my + wa * (a - ma) + wb * (b - mb), 3) AS prediction FROM t, m""")
+def ols_many_features(spark, sf_dir):
+    """With features that are sums, multiples and constants: of the solutions the one of least norm, whose predictions are those of the plane."""
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", q, d, (q + d).alias("both"), (q * 3 - d).alias("other"), F.lit(2.0).alias("constant"))
+    model = linear.fit_linear(rows, ["l_quantity", "l_discount", "both", "other", "constant"], "l_extendedprice", centred=True)
+    return linear.predict_linear(rows, model).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
 FOLD_SQL = " UNION ALL ".join(
     f"""SELECT CAST({k} AS INTEGER) AS fold, count(*) AS n_rows, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae
   FROM (SELECT l_extendedprice - (SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem WHERE l_partkey % 4 <> {k}) - l_quantity * (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem WHERE l_partkey % 4 <> {k}) AS e
@@ -476,18 +528,52 @@ def detection_latency(spark, sf_dir):
     return got.select("count", *[F.round(c, 4).alias(c) for c in got.columns[1:]])
 
 
-@query()
+def mixed_sql(key: str, replicate: str, seed: int = 42) -> str:
+    """``resampling.mixed`` as SQL."""
+    p, k = resampling.PRIME, f"(CAST({key} AS BIGINT) % {resampling.PRIME})"
+    x = f"(({k} * {resampling.KEY_FACTOR} + CAST({replicate} AS BIGINT) * {resampling.REPLICATE_FACTOR} + {seed}) % {p})"
+    for k_, add in enumerate((f"{k} + 12345", f"CAST({replicate} AS BIGINT) + 1", f"{k} + 7")):
+        x = f"(list_transform([{x}], lambda x{k_}: (x{k_} * x{k_} + {add}) % {p})[1])"
+    return x
+
+
+@query(f"""WITH d AS (SELECT c_acctbal AS v, rep, {mixed_sql('c_custkey', 'rep')} AS x FROM customer, range(400) r(rep)),
+  w AS (SELECT rep, v, {" + ".join(f"CAST(x >= {t} AS INTEGER)" for t in resampling.poisson_steps())} AS w FROM d),
+  m AS (SELECT rep, sum(w * v) / sum(w) AS m FROM w GROUP BY rep)
+  SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, CAST(0.025 AS DOUBLE)), 4) AS ci95_low, round(quantile_cont(m, CAST(0.975 AS DOUBLE)), 4) AS ci95_high FROM m""")
 def bootstrap_ci(spark, sf_dir):
-    return resampling.poisson_bootstrap(read(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+    out = resampling.poisson_bootstrap(read(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
-@query()
+@query(f"""WITH m AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) * 2 + CAST(o_orderstatus = 'O' AS BIGINT) AS k, CAST(o_orderstatus = 'O' AS INTEGER) AS s, avg(o_totalprice) AS v
+    FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL),
+  o AS (SELECT sum(1 - s) AS na, abs(avg(v) FILTER (s = 0) - avg(v) FILTER (s = 1)) AS observed FROM m),
+  d AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {mixed_sql('k', 'rep')}, k) AS place FROM m, range(1, 1001) r(rep)),
+  h AS (SELECT rep, abs(avg(v) FILTER (place <= na) - avg(v) FILTER (place > na)) >= observed - 1e-9 AS hit FROM d, o GROUP BY rep, observed)
+  SELECT round(max(observed), 4) AS observed, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits, round((sum(CAST(hit AS INTEGER)) + 1) / 1001.0, 9) AS p_value FROM h, o""")
 def permutation_pvalue(spark, sf_dir):
-    """Between two summaries by segment: as many numbers as segments and months, whatever the rows."""
-    monthly = read(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month"), "o_orderstatus").agg(F.avg("o_totalprice").alias("v"))
-    rows = monthly.where("o_orderstatus IN ('F', 'O')").orderBy("month").collect()
-    p = resampling.permutation_pvalue(*[[r["v"] for r in rows if r["o_orderstatus"] == s] for s in ("F", "O")])
-    return spark.createDataFrame([(p,)], "p_value double")
+    """Between monthly means of two order states: as many numbers as months, whatever the rows."""
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')")
+    side = (F.col("o_orderstatus") == "O").cast("int")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long") * 2 + side
+    monthly = orders.groupBy(month.alias("k"), side.alias("s")).agg(F.avg("o_totalprice").alias("v"))
+    out = resampling.hashed_permutation_test(monthly, "v", "s", "k")
+    return out.select(F.round("observed", 4).alias("observed"), "hits", F.round("p_value", 9).alias("p_value"))
+
+
+@query("""WITH x AS (SELECT CAST(row_number() OVER (ORDER BY r) AS DOUBLE) AS x FROM range(1, 6) t(r))
+  SELECT CAST(5 AS DOUBLE) AS runs, avg(x) AS latency_mean, stddev_pop(x) AS latency_std, avg(100 / x) AS throughput_mean, round(stddev_pop(100 / x), 9) AS throughput_std FROM x""")
+def repeated_runs(spark, sf_dir):
+    took = iter(range(1, 6))
+
+    def run() -> dict:
+        s = float(next(took))
+        return {"latency_s": s, "throughput_rows_s": 100 / s}
+
+    got = resampling.run_repeated(run, 5)
+    got["throughput_std"] = round(got["throughput_std"], 9)
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} double" for k in got))
 
 
 # Execution modes
@@ -523,5 +609,68 @@ def stream_rolling(spark, sf_dir):
     return out.select("event_id", F.round("value_roll_mean", 6).alias("value_roll_mean"), F.round("value_roll_std", 6).alias("value_roll_std"))
 
 
+def _bare_onehot(of: str, column: str) -> str:
+    return ", ".join(f"""CAST({of} = '{v}' AS INTEGER) AS "{v}\"""" for v in (*PRIORITIES, f"Unknown_{column}"))
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, coalesce({NULLED}, med) AS v, coalesce(CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END, 'Unknown_priority') AS p, o_totalprice AS salary
+    FROM orders, (SELECT median({NULLED}) AS med FROM orders))
+  SELECT o_orderkey - min(o_orderkey) OVER () AS "_row_id", round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS price, {_bare_onehot('p', 'priority')}, salary FROM t""")
+def transform_frame(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    low = F.col("o_orderkey") - orders.agg(F.min("o_orderkey")).first()[0]
+    both = nulled(spark, sf_dir).join(orders.select("o_orderkey", F.col("o_totalprice").alias("salary")), "o_orderkey")
+    return engineering.transform_frame(both.select(low.alias(ROW_ID), "price", "priority", "salary")).withColumn("price", F.round("price", 6))
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def spill_round_trip(spark, sf_dir):
+    """Features and target of a chunk, spilled as CSV and read again."""
+    df = read(spark, sf_dir, "customer")
+    paths = sinks.spill_chunk(df.select("c_custkey", "c_acctbal"), df.select("c_custkey", "c_mktsegment"), shared_dir(spark), 1)
+    x, y = (readers.load(spark, paths[k], df.schema) for k in ("X", "y"))
+    return x.join(y, "c_custkey").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, 'csv' AS kind FROM nation UNION ALL SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT), 'jsonl' FROM nation")
+def report_rows(spark, sf_dir):
+    """Rows of a report as CSV and as JSON lines, read again on the driver as its consumers do."""
+    rows = [{"id": r["n_nationkey"], "name": r["n_name"], "region": r["n_regionkey"]} for r in read(spark, sf_dir, "nation").collect()]
+    out = []
+    with tempfile.TemporaryDirectory() as folder:
+        for kind in ("csv", "jsonl"):
+            path = Path(folder) / f"rows.{kind}"
+            sinks.write_rows(rows, path)
+            with path.open(encoding="utf-8", newline="") as f:
+                got = list(csv.DictReader(f)) if kind == "csv" else [json.loads(line) for line in f]
+            out += [(int(r["id"]), r["name"], int(r["region"]), kind) for r in got]
+    return spark.createDataFrame(out, "id int, name string, region long, kind string")
+
+
+@query("SELECT * FROM (VALUES ('batch_size', '256'), ('chunk_size', '64'), ('max_compute_units', '0.5'), ('max_memory_mb', '512'), ('random_seed', '7')) v(name, value)")
+def run_manifest(spark, sf_dir):
+    """Settings as a run's manifest has them."""
+    got = runner.PipelineRunner(spark, PipelineConfig(random_seed=7, chunk_size=64, max_memory_mb=512, max_compute_units=0.5)).manifest()
+    settings = got["config"] | {"random_seed": got["random_seed"]}
+    names = ("batch_size", "chunk_size", "max_compute_units", "max_memory_mb", "random_seed")
+    return spark.createDataFrame([(n, str(settings[n])) for n in names], "name string, value string")
+
+
+@query("""SELECT 'batch' AS mode, count(*) AS n_rows, true AS measured FROM orders""")
+def batch_run(spark, sf_dir):
+    got = runner.PipelineRunner(spark).run_batch(with_ordinal(raw_records(spark, sf_dir), ["record_id"]).drop("record_id"))
+    return spark.createDataFrame([(got["mode"], got["rows"], got["latency_s"] > 0 and got["throughput_rows_s"] > 0 and got["energy_estimate_j"] > 0 and got["model"]["rmse"] > 0)], "mode string, n_rows long, measured boolean")
+
+
+@query("""WITH c AS (SELECT least(greatest(16, count(*) // 2), count(*)) AS size, count(*) AS n FROM orders)
+  SELECT CAST(k + 1 AS BIGINT) AS chunk_id, CAST(least(size, n - k * size) AS BIGINT) AS n_rows, true AS profiled FROM c, range(0, 4) r(k) WHERE k * size < n""")
+def streaming_run(spark, sf_dir):
+    """The preparation as a structured stream of two or three chunks, with an online model."""
+    rows = with_ordinal(raw_records(spark, sf_dir), ["record_id"]).drop("record_id")
+    got = runner.PipelineRunner(spark, PipelineConfig(chunk_size=max(1, rows.count() // 2), max_memory_mb=1 << 20)).run_streaming(rows)
+    fine = lambda m: m["latency_s"] > 0 and m["input_bytes"] > 0 and all(m["operator_profile_s"][k] > 0 for k in runner.STAGES)
+    return spark.createDataFrame([(m["chunk_id"], m["rows"], fine(m)) for m in got["chunk_metrics"]], "chunk_id long, n_rows long, profiled boolean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_records(spark, sf_dir)

@@ -13,6 +13,7 @@ from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators import cleaning, engineering, linear, resampling, validation
@@ -21,6 +22,8 @@ from tidewright.plans import telemetry
 from tidewright.plans.config import PipelineConfig, adjusted_sizes
 from tidewright.schema import ROW_ID
 from tidewright.sources import readers, sinks
+from tidewright.storage import shared_dir
+from tidewright.streaming.chunks import run_chunks
 
 BATCH_WATTS, STREAM_WATTS = 45.0, 30.0
 STAGES = ("preprocess_s", "feature_engineering_s", "feature_selection_s", "encode_scale_s")
@@ -43,8 +46,8 @@ def _energy(readings: dict, seconds: float, watts: float) -> float:
 class OnlineLinear:
     """Stochastic gradient steps with inverse scaling of the rate, on features of driver-sized chunks."""
 
-    def __init__(self, features: int, rate: float = 0.01, power: float = 0.25, penalty: float = 1e-4):
-        self.w, self.b, self.t, self.rate, self.power, self.penalty = np.zeros(features), 0.0, 0, rate, power, penalty
+    def __init__(self, features: int, rate: float = 0.01, power: float = 0.25, penalty: float = 1e-4, weights: list | None = None, bias: float = 0.0, seen: int = 0):
+        self.w, self.b, self.t, self.rate, self.power, self.penalty = np.array(weights or np.zeros(features), float), bias, seen, rate, power, penalty
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w + self.b
@@ -64,7 +67,7 @@ class PipelineRunner:
         np.random.seed(self.config.random_seed)
 
     def load(self, source: str | DataFrame) -> DataFrame:
-        df = readers.load(self.spark, source)
+        df = readers.load(self.spark, source) if isinstance(source, DataFrame) else readers.load_in_order(self.spark, source)
         return df if ROW_ID in df.columns else with_ordinal(df)
 
     def run_batch(self, source: str | DataFrame) -> dict:
@@ -85,38 +88,35 @@ class PipelineRunner:
             "model": linear.evaluate_split(encoded, feature_names(encoded), engineering.TARGET),
         }
 
-    def _chunk(self, chunk: DataFrame, carried: list[float]) -> tuple[DataFrame, dict, list[float]]:
-        """Encoded chunk, seconds by stage, and the last salaries for the next chunk's windows."""
+    def _chunk(self, chunk: DataFrame, carried: list[float], held: list[DataFrame]) -> tuple[DataFrame, dict, list[float]]:
+        """Encoded chunk, seconds by stage (each stage is computed before the next), and the last salaries for the next chunk's windows."""
         seconds, began = {}, time.perf_counter()
 
-        def lap(name: str) -> None:
+        def lap(df: DataFrame, name: str) -> DataFrame:
             nonlocal began
+            held.append(df.persist())
+            df.count()
             seconds[name], began = time.perf_counter() - began, time.perf_counter()
-
-        cleaned = cleaning.clean(chunk)
-        lap(STAGES[0])
-        years = engineering.calendar_features(cleaned)
-        local = years.toPandas().sort_values(["version_year", ROW_ID], kind="stable")  # one bounded chunk
-        values = np.array([*carried, *local["salary"].astype(float)])
-        windows = [values[max(0, i - 4) : i + 1] for i in range(len(carried), len(values))]
-        local["salary_roll_mean"] = [w.mean() for w in windows]
-        local["salary_roll_std"] = [w.std() for w in windows]
-        schema = years.schema.add("salary_roll_mean", "double").add("salary_roll_std", "double")
-        rows = [tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in local.astype(object).itertuples(index=False)]
-        featured = self.spark.createDataFrame(rows, schema)
-        featured = engineering.zscore_anomaly(featured.withColumn("__chunk", F.lit(0)), "salary", by="__chunk").drop("__chunk")
-        lap(STAGES[1])
-        pruned = engineering.drop_collinear(featured)
-        lap(STAGES[2])
-        encoded = engineering.encode_and_scale(pruned)
-        lap(STAGES[3])
-        return encoded, seconds, values[-4:].tolist()
-
-    def run_streaming(self, source: str | DataFrame, chunk_size: int | None = None, max_memory_mb: int | None = None, max_compute_units: float | None = None) -> dict:
-        """Chunks in order; rolling values, columns and an online model go from chunk to chunk.
+            return df
+
+        cleaned = lap(cleaning.clean(chunk), STAGES[0])
+        years = engineering.calendar_features(cleaned).withColumn("__new", F.lit(1))
+        before = self.spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(carried)], f"__new int, `{ROW_ID}` long, salary double")
+        window = W.partitionBy(F.lit(0)).orderBy("__new", "version_year", ROW_ID).rowsBetween(-4, 0)  # one bounded chunk
+        rolled = years.unionByName(before, allowMissingColumns=True).withColumns({"salary_roll_mean": F.avg("salary").over(window), "salary_roll_std": F.coalesce(F.stddev_pop("salary").over(window), F.lit(0.0))})
+        featured = engineering.zscore_anomaly(rolled.where("__new = 1"), "salary", by="__new").drop("__new")
+        featured = lap(featured, STAGES[1])
+        last = [r["salary"] for r in featured.orderBy(F.desc("version_year"), F.desc(ROW_ID)).select("salary").take(4)]
+        pruned = lap(engineering.drop_collinear(featured), STAGES[2])
+        encoded = lap(engineering.encode_and_scale(pruned), STAGES[3])
+        return encoded, seconds, [*carried, *reversed(last)][-4:]
+
+    def run_streaming(self, source: str | DataFrame, chunk_size: int | None = None, max_memory_mb: int | None = None, max_compute_units: float | None = None, home: str | None = None) -> dict:
+        """A structured stream whose micro-batches are the chunks, in order; rolling values, columns and an online model go from chunk to chunk.
 
         A chunk over the memory limit makes the next ones smaller (half, 16 at
         least, ``max_chunk_retries`` times): every row is read and learned once.
+        With the ``home`` folder of a run that failed, it goes on where that ended.
         """
         c = self.config
         memory, compute = float(max_memory_mb or c.max_memory_mb), max_compute_units or c.max_compute_units
@@ -124,30 +124,47 @@ class PipelineRunner:
         rows = df.count()
         batch, size = adjusted_sizes(rows, chunk_size or c.chunk_size, c.batch_size, memory, compute)
         before, began = telemetry.snapshot(), time.perf_counter()
-        at, number, retries, carried, columns, model, errors, chunks = 0, 0, 0, [], None, None, [], []
-        while at < rows:
-            number, t0, mem0 = number + 1, time.perf_counter(), telemetry.process_memory_mb()
-            part = df.where((F.col(ROW_ID) >= at) & (F.col(ROW_ID) < at + size))
-            encoded, seconds, carried = self._chunk(part, carried)
-            columns = columns or feature_names(encoded)
-            local = engineering.align(encoded, [*columns, engineering.TARGET]).toPandas().astype(float).fillna(0.0)
-            x, y = local[columns].to_numpy(), local[engineering.TARGET].to_numpy()
-            model = model or OnlineLinear(len(columns))
-            if number > 1:
-                errors += (model.predict(x) - y).tolist()
-            model.partial_fit(x, y)
-            spent, mem1 = time.perf_counter() - t0, telemetry.process_memory_mb()
-            paths = sinks.spill_chunk(engineering.align(encoded, columns), encoded.select(engineering.TARGET), str(c.output_dir / "intermediate"), number) if c.spill_to_disk else {}
-            size_bytes = int(local.memory_usage(deep=True).sum())
-            chunks.append(
-                {
-                    "chunk_id": number, "rows": len(y), "latency_s": spent, "throughput_rows_s": len(y) / max(spent, 1e-9), "batch_size": batch, "chunk_size": size, "memory_before_mb": mem0, "memory_after_mb": mem1,
-                    "memory_exceeded": mem1 > memory, "retries": retries, "spill_paths": paths, "operator_profile_s": seconds, "input_bytes": size_bytes, "estimated_input_bandwidth_mb_s": size_bytes / 2**20 / max(spent, 1e-9),
-                }
-            )
-            at += size
-            if mem1 > memory and c.adaptive_chunk_resize and retries < c.max_chunk_retries and size > 16:
-                retries, size = retries + 1, max(16, size // 2)
+
+        def handle(whole: DataFrame, state: dict) -> dict:
+            whole = whole.persist()
+            first, n, size_bytes = whole.agg(F.min(ROW_ID), F.count("*"), F.max("__bytes")).first()
+            at = first
+            while at < first + n:
+                step = state["size"]
+                held: list[DataFrame] = []
+                t0, mem0 = time.perf_counter(), telemetry.process_memory_mb()
+                part = whole.where((F.col(ROW_ID) >= at) & (F.col(ROW_ID) < at + step)).drop("__bytes")
+                encoded, seconds, state["carried"] = self._chunk(part, state["carried"], held)
+                columns = state["columns"] = state["columns"] or feature_names(encoded)
+                local = engineering.align(encoded, [*columns, engineering.TARGET]).toPandas().astype(float).fillna(0.0)  # one bounded chunk
+                x, y = local[columns].to_numpy(), local[engineering.TARGET].to_numpy()
+                model = OnlineLinear(len(columns), **state["model"])
+                if state["chunks"]:
+                    state["squares"] += float(np.square(model.predict(x) - y).sum())
+                    state["judged"] += len(y)
+                model.partial_fit(x, y)
+                state["model"] = {"weights": model.w.tolist(), "bias": float(model.b), "seen": model.t}
+                spent, mem1 = time.perf_counter() - t0, telemetry.process_memory_mb()
+                number = len(state["chunks"]) + 1
+                paths = sinks.spill_chunk(engineering.align(encoded, columns), encoded.select(engineering.TARGET), str(c.output_dir / "intermediate"), number) if c.spill_to_disk else {}
+                read = int(size_bytes * len(y) / n)
+                state["chunks"].append(
+                    {
+                        "chunk_id": number, "rows": len(y), "latency_s": spent, "throughput_rows_s": len(y) / max(spent, 1e-9), "batch_size": batch, "chunk_size": step, "memory_before_mb": mem0, "memory_after_mb": mem1,
+                        "memory_exceeded": mem1 > memory, "retries": state["retries"], "spill_paths": paths, "operator_profile_s": seconds, "input_bytes": read, "estimated_input_bandwidth_mb_s": read / 2**20 / max(spent, 1e-9),
+                    }
+                )
+                at += step
+                if mem1 > memory and c.adaptive_chunk_resize and state["retries"] < c.max_chunk_retries and step > 16:
+                    state["retries"], state["size"] = state["retries"] + 1, max(16, step // 2)
+                for x in held:
+                    x.unpersist()
+            whole.unpersist()
+            return state
+
+        start = {"size": size, "retries": 0, "carried": [], "columns": None, "model": {}, "squares": 0.0, "judged": 0, "chunks": []}
+        state = run_chunks(df, size, home or shared_dir(self.spark), handle, start) if rows else start
+        chunks = state["chunks"]
         seconds = time.perf_counter() - began
         readings = telemetry.compare(before, telemetry.snapshot())
         mean = lambda key: float(np.mean([m["operator_profile_s"][key] for m in chunks])) if chunks else 0.0
@@ -164,7 +181,7 @@ class PipelineRunner:
             "model": {
                 "rmse": 0.0,
                 "r2": max(0.0, 1.0 - 0.01 * float(np.mean([m["memory_exceeded"] for m in chunks]))) if chunks else 0.0,
-                "prequential_rmse": float(np.sqrt(np.mean(np.square(errors)))) if errors else 0.0,
+                "prequential_rmse": float(np.sqrt(state["squares"] / state["judged"])) if state["judged"] else 0.0,
                 "training_time_s": seconds,
                 "online_learning": True,
             },

@@ -32,21 +32,33 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def load(spark: SparkSession, source: str | DataFrame, schema: T.StructType | None = None) -> DataFrame:
+def load_in_order(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table at ``path`` with a dense _row_id: the order of files by name, and of rows inside them, however Spark deals the files out."""
+    rows = load(spark, path, schema, places=True)
+    places = ["__file", "__block", "__row"]
+    return with_ordinal(rows.withColumn("__row", F.monotonically_increasing_id()), places).drop(*places)  # inside a block rows are read in order
+
+
+def load(spark: SparkSession, source: str | DataFrame, schema: T.StructType | None = None, places: bool = False) -> DataFrame:
     """A DataFrame as it is, or the table at a path (.csv with header, .parquet, .json).
 
     CSV columns get their declared types by name; others stay text.  NaN becomes null.
+    ``places`` adds where a row was read: __file and __block.
     """
     if isinstance(source, DataFrame):
         return source
-    path = str(source)
-    if path.rstrip("/").endswith(".parquet"):
-        return nan_to_null(spark.read.parquet(path))
-    if path.rstrip("/").endswith((".json", ".jsonl")):
-        return nan_to_null(spark.read.json(path) if schema is None else spark.read.schema(schema).json(path))
-    known = {f.name: f.dataType for f in (schema or RAW_SCHEMA)}
-    own = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in _header(spark, path)])
-    return nan_to_null(spark.read.schema(own).option("header", True).csv(path))
+    path, name = str(source), str(source).rstrip("/")
+    if name.endswith(".parquet"):
+        rows = spark.read.parquet(path)
+    elif name.endswith((".json", ".jsonl")):
+        rows = spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
+    else:
+        known = {f.name: f.dataType for f in (schema or RAW_SCHEMA)}
+        own = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in _header(spark, path)])
+        rows = spark.read.schema(own).option("header", True).csv(path)
+    if places:
+        rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    return nan_to_null(rows)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -25,9 +26,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewright-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """(the Hadoop file system of ``path``, ``path`` for it)."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """``value`` at ``path`` in shared storage, in place of what was there."""
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+
+
+def read_json(spark: SparkSession, path: str):
+    """What ``write_json`` stored, or None."""
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def stored(df: DataFrame) -> DataFrame:
