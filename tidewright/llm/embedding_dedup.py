@@ -218,3 +218,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs and the closure of their links; for small tables.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM f WHERE list_dot_product(e, e) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x), n AS (SELECT x, count(*) AS links FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
+"""

@@ -15,6 +15,8 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
+    "op3_embedding_dedup": embedding_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,

@@ -326,3 +326,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Every window of every text, in pieces of 1,000 windows; for small tables.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 1000)) AS piece_at FROM d),
+p AS MATERIALIZED (SELECT doc_id, piece_at, substr(h, 2 * piece_at + 1, 2198) AS part FROM c),
+w AS (SELECT doc_id, piece_at, part, unnest(range(0, len(part) // 2 - 99)) AS o FROM p),
+k AS (SELECT doc_id, piece_at + o AS s, row_number() OVER (PARTITION BY substr(part, 2 * o + 1, 200) ORDER BY doc_id, piece_at + o) AS nth FROM w),
+g AS (SELECT doc_id, s, s - lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) > 100 AS new FROM k WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, island),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prior FROM r),
+t AS (SELECT q.doc_id, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
