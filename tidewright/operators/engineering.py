@@ -196,6 +196,24 @@ class Encoding:
         return out
 
 
+    def vector(self, known: set[str]) -> Column:
+        """All of ``columns`` as one sparse vector: a struct of size, indices and values, for text of many categories.
+
+        Numbers come first, each in its place; a text has the place of its category, and none where that is unknown.
+        """
+        numbers = [c.cast("double") for c in Encoding(self.medians, self.means, self.stds).columns(known)]
+        places, before = [], len(numbers)
+        for c, values in self.categories.items():
+            value = F.coalesce(F.col(quoted(c)) if c in known else F.lit(None).cast("string"), F.lit(f"Unknown_{c}"))
+            at = F.array_position(F.array(*map(F.lit, values)).cast("array<string>"), value)
+            places.append(F.when(at > 0, (at + (before - 1)).cast("int")))
+            before += len(values)
+        hot = F.filter(F.array(*places).cast("array<int>"), lambda x: x.isNotNull())
+        indices = F.concat(F.array(*map(F.lit, range(len(numbers)))).cast("array<int>"), hot)
+        values = F.concat(F.array(*numbers).cast("array<double>"), F.transform(hot, lambda _: F.lit(1.0)))
+        return F.struct(F.lit(before).alias("size"), indices.alias("indices"), values.alias("values"))
+
+
 def fit_encoding(df: DataFrame, numeric: list[str], text: list[str]) -> Encoding:
     """Shared passes for all medians, one for mean and deviation after filling, one for all categories of text."""
     medians: dict = {}

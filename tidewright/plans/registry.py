@@ -7,6 +7,7 @@ import json
 import tempfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -327,6 +328,17 @@ def onehot(spark, sf_dir):
     return df.select("o_orderkey", *engineering.fit_encoding(df, [], ["priority"]).columns({"priority"}))
 
 
+@query(f"""WITH t AS (SELECT o_orderkey, coalesce({NULLED}, med) AS v, coalesce(CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END, 'Unknown_priority') AS p FROM orders, (SELECT median({NULLED}) AS med FROM orders))
+  SELECT o_orderkey, CAST(1 + (SELECT count(DISTINCT p) FROM t) AS INTEGER) AS size, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) + 0.0 AS price, p AS priority FROM t""")
+def onehot_vector(spark, sf_dir):
+    """Numbers and one-hot text as one sparse vector; the category is read back from its place."""
+    df = nulled(spark, sf_dir)
+    fitted = engineering.fit_encoding(df, ["price"], ["priority"])
+    x = df.select("o_orderkey", fitted.vector(set(df.columns)).alias("x"))
+    names = F.array(*map(F.lit, fitted.categories["priority"]))
+    return x.select("o_orderkey", F.col("x.size").alias("size"), F.round(F.col("x.values")[0], 6).alias("price"), F.get(names, F.col("x.indices")[1] - 1).alias("priority"))
+
+
 @query(f"""WITH t AS (SELECT o_orderkey, coalesce({NULLED}, med) AS v, coalesce(CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END, 'Unknown_priority') AS p, o_totalprice AS salary
     FROM orders, (SELECT median({NULLED}) AS med FROM orders))
   SELECT o_orderkey - min(o_orderkey) OVER () AS "_row_id", round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS price, {_onehot_sql('p', 'priority')}, salary FROM t""")
@@ -546,6 +558,19 @@ def bootstrap_ci(spark, sf_dir):
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
+@query("""WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, CAST(n_regionkey AS DOUBLE) AS x, CAST(n_nationkey AS DOUBLE) AS y FROM nation),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b UNION ALL
+ SELECT t.i, s.w - 0.01 / pow(t.i, 0.25) * ((t.x * s.w + s.b - t.y) * t.x + 0.0001 * s.w), s.b - 0.01 / pow(t.i, 0.25) * (t.x * s.w + s.b - t.y) FROM s JOIN t ON t.i = s.i + 1)
+SELECT round(w, 9) AS weight, round(b, 9) AS bias FROM s WHERE i = (SELECT max(i) FROM t)""")
+def online_learner(spark, sf_dir):
+    """Gradient steps over rows in order, in two chunks."""
+    rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey", "n_nationkey").collect()  # a chunk is the driver's
+    model = runner.OnlineLinear(1)
+    for part in (rows[:13], rows[13:]):
+        model.partial_fit(np.array([[float(r[0])] for r in part]), np.array([float(r[1]) for r in part]))
+    return spark.createDataFrame([(round(float(model.w[0]), 9), round(float(model.b), 9))], "weight double, bias double")
+
+
 @query(f"""WITH m AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) * 2 + CAST(o_orderstatus = 'O' AS BIGINT) AS k, CAST(o_orderstatus = 'O' AS INTEGER) AS s, avg(o_totalprice) AS v
     FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL),
   o AS (SELECT sum(1 - s) AS na, abs(avg(v) FILTER (s = 0) - avg(v) FILTER (s = 1)) AS observed FROM m),
