@@ -119,6 +119,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of a text's distinct shingle hashes: two-value bands of minima, and how many least ones are kept to compare.
 BANDS, LOWEST, PAIR_UP = 16, 192, 16
+#: Members of a crowded bucket's largest component that each of its other members is compared with.
+STARS = 4
 #: A pair is ruled out by its least hashes when they estimate its similarity this far too low: by Hoeffding's bound one close pair in 10^15 is.
 MARGIN = 0.3
 #: Set sizes of one class differ by at most this factor.
@@ -249,6 +251,29 @@ def crowded_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.df
 
 
+def apart(crowd: DataFrame, linked: DataFrame) -> DataFrame:
+    """(band, key, rep, comp, main): members of crowded buckets (band, key, rep, members) that have several components, and the one with most members."""
+    placed = crowd.join(linked, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", "members", F.coalesce("component", "rep").alias("comp"))
+    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.first("members").alias("members"))
+    several = counts.groupBy("band", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.first("members").alias("rows")).where("comps > 1")
+    return join_spread(placed, stored(several), ["band", "key"], "rows", "rep", "inner").select("band", "key", "rep", "comp", "main")
+
+
+def further_stars(crowd: DataFrame, linked: DataFrame) -> DataFrame:
+    """(u, v): the members of crowded buckets outside their bucket's largest component, each with STARS members of that, others in every band.
+
+    In a group whose copies are close to some of it only, this leaves few for
+    prefix filtering, which compares what is left over with the whole group.
+    """
+    open_ = stored(apart(crowd, linked))
+    order = [F.min(F.struct(F.xxhash64("rep", "band", F.lit(k)), "rep"))["rep"].alias(f"s{k}") for k in range(STARS)]
+    centres = open_.where("comp = main").groupBy("band", "key").agg(*order, F.count("*").alias("rows"))
+    centres = stored(centres.select("band", "key", F.array_distinct(F.array(*[F.col(f"s{k}") for k in range(STARS)])).alias("centres"), "rows"))
+    met = join_spread(open_.where("comp <> main").select("band", "key", "rep"), centres, ["band", "key"], "rows", "rep", "inner")
+    each = met.select("rep", F.explode("centres").alias("centre"))
+    return each.select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct()
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one document (the least id) of each group linked at a Jaccard similarity of ``similarity`` or more.
 
@@ -257,8 +282,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     give candidates together with bands of two minima of the shingle hashes
     (16 bands: a pair at 0.8 shares one but for one in ten million).  Buckets
     of up to PAIR_UP documents are paired up; larger ones link to the member of
-    least hash, another in every band.  That joins groups of close copies; the
-    members of larger buckets that still have several components then meet by
+    least hash, another in every band.  That joins groups of close copies.  In
+    buckets that still have several components, members outside the largest one
+    are compared with STARS of its members; what then is left apart meets by
     prefix filtering, which misses no pair.  All candidates are verified on their
     whole shingle sets: at once up to LOWEST distinct shingles; of larger sets
     the LOWEST least hashes of the union rule pairs out that are MARGIN below,
@@ -298,22 +324,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_co
     possible = F.least("n_u", "n") >= F.greatest("n_u", "n") * (similarity - 1e-9)
     judged = Stored(both.where(possible & close).select("u", "v", whole.alias("whole")))
     unsure = judged.df.where(~F.col("whole")).select("u", "v")
-    crowd = Stored(met.df.where(F.col("members") > PAIR_UP).select("band", "key", "rep"))
+    crowd = Stored(met.df.where(F.col("members") > PAIR_UP).select("band", "key", "rep", "members"))
     wanted = unsure.select(F.col("u").alias("rep")).union(unsure.select("v")).union(crowd.df.select("rep")).distinct()
     full = Stored(shingle_sets(docs, stored(reps.df.select("rep", "id", "hash").join(wanted, "rep")), shingle, id_col, text_col))
     edges = judged.df.where("whole").select("u", "v").union(similar(unsure, full.df, similarity))
     linked = Stored(connected_components(edges))
-    placed = crowd.df.join(linked.df, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ones = placed.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "key")
-    left_over = placed.join(open_ones, ["band", "key"]).select("rep", "comp").distinct()
-    more = similar(crowded_pairs(full.df.join(left_over, "rep"), similarity), full.df, similarity)
-    comps = connected_components(linked.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    more = similar(further_stars(crowd.df, linked.df), full.df, similarity)
+    again = Stored(connected_components(linked.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
+    left_over = Stored(apart(crowd.df, again.df).select("rep", "comp").distinct())
+    more = similar(crowded_pairs(full.df.join(left_over.df, "rep"), similarity), full.df, similarity)
+    comps = connected_components(again.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = stored(comps.withColumnRenamed("node", "rep").join(reps.df.select("rep", "id"), "rep"))
     winners = named.groupBy("component").agg(F.min(F.struct("id", "rep"))["rep"].alias("rep"))
     gone = named.join(winners.select("rep"), "rep", "left_anti").select("rep", F.lit(True).alias("gone"))
     verdict = stored(class_of.df.join(gone, "rep", "left").select("same", "n", F.col("id").alias("first"), "copies", F.coalesce("gone", F.lit(False)).alias("gone")))
     found = join_spread(sk.select("id", "hash", "same", "n"), verdict, ["same", "n"], "copies", "id")
     lost = stored(found.where(F.col("gone") | ~F.col("id").eqNullSafe(F.col("first"))).select("id", "hash").distinct())
-    for x in (made, class_of, reps, buckets, met, judged, crowd, full, linked):
+    for x in (made, class_of, reps, buckets, met, judged, crowd, full, linked, again, left_over):
         x.drop()
     return docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["id"]) & (F.xxhash64(docs[text_col]) == lost["hash"]), "left_anti")
