@@ -8,6 +8,7 @@ from tidewright.operators.ordered import with_ordinal
 from tidewright.plans import registry
 from tidewright.plans.config import PipelineConfig
 from tidewright.plans.runner import STAGES, OnlineLinear, PipelineRunner
+from tidewright.schema import ROW_ID
 
 
 def records(spark, n):
@@ -53,6 +54,37 @@ def test_memory_limit_makes_chunks_smaller_and_keeps_every_row(spark):
     assert got["rows"] == 50 and got["chunk_metrics"][0]["memory_exceeded"] and got["chunk_metrics"][1]["retries"] <= 1
 
 
+def test_a_large_chunk_comes_to_the_driver_in_parts(spark, tmp_path, monkeypatch):
+    """Of chunks of several files the model gets bounded batches, in the order of a run that gets each chunk whole; nothing else of a chunk is fetched."""
+    rows, config = with_ordinal(records(spark, 500)), PipelineConfig(chunk_size=300, max_memory_mb=1 << 20, output_dir=tmp_path)
+    whole = PipelineRunner(spark, config).run_streaming(rows, home=str(tmp_path / "whole"))
+    learn, calls = OnlineLinear.partial_fit, []
+    monkeypatch.setattr(OnlineLinear, "partial_fit", lambda self, x, y: (calls.append(len(y)), learn(self, x, y))[1])
+    monkeypatch.setattr("tidewright.streaming.chunks.PIECE", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        parts = PipelineRunner(spark, config).run_streaming(rows, home=str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list((tmp_path / "parts/feed").glob("piece=*/*.parquet"))) == 5
+    assert calls == [64] * 4 + [44] + [64] * 3 + [8] and [m["rows"] for m in parts["chunk_metrics"]] == [300, 200]
+    states = [json.loads((tmp_path / home / "state/1.json").read_text()) for home in ("whole", "parts")]
+    assert states[0]["columns"] == states[1]["columns"] and states[0]["carried"] == states[1]["carried"]
+    assert states[1]["model"]["weights"] == pytest.approx(states[0]["model"]["weights"], rel=1e-6) and states[1]["squares"] == pytest.approx(states[0]["squares"], rel=1e-6)
+
+
+def test_a_chunk_has_no_window_over_all_its_rows(spark, tmp_path):
+    """Windows run on from chunk to chunk by year, in parallel blocks."""
+    runner, held = PipelineRunner(spark, PipelineConfig(output_dir=tmp_path)), []
+    encoded, _, carried = runner._chunk(with_ordinal(records(spark, 200)), [1.0, 2.0, 3.0, 4.0], held)
+    plan = held[1]._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(__block" in plan and encoded.agg(F.sum(ROW_ID)).first()[0] == sum(range(200))
+    rolled = held[1].orderBy(ROW_ID).toPandas()
+    values = [1.0, 2.0, 3.0, 4.0, *rolled["salary"]]
+    assert rolled["version_year"].is_monotonic_increasing and carried == values[-4:]
+    assert rolled["salary_roll_mean"].tolist() == pytest.approx([sum(values[k : k + 5]) / 5 for k in range(200)])
+
+
 def test_batch_run_and_artifacts(spark, tmp_path, monkeypatch):
     runner = PipelineRunner(spark, PipelineConfig(chunk_size=64, benchmark_runs=1, output_dir=tmp_path))
     stub = {"mode": "streaming", "rows": 40, "latency_s": 1.0, "throughput_rows_s": 40.0, "peak_memory_mb": 1.0, "chunk_metrics": [{"chunk_id": 1}], "operator_profile_summary_s": {"preprocess_s": 0.1}, "model": {"r2": 1.0, "rmse": 0.0, "training_time_s": 1.0}}

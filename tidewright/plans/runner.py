@@ -7,22 +7,22 @@ import platform
 import random
 import sys
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators import cleaning, engineering, linear, resampling, validation
 from tidewright.operators.ordered import with_ordinal
 from tidewright.plans import telemetry
 from tidewright.plans.config import PipelineConfig, adjusted_sizes
-from tidewright.schema import ROW_ID
+from tidewright.schema import ROW_ID, quoted
 from tidewright.sources import readers, sinks
-from tidewright.storage import shared_dir
+from tidewright.storage import scratch, shared_dir
 from tidewright.streaming.chunks import run_chunks
 
 BATCH_WATTS, STREAM_WATTS = 45.0, 30.0
@@ -60,6 +60,26 @@ class OnlineLinear:
             self.b -= step * error
 
 
+def in_order(encoded: DataFrame, columns: list[str], rows: int, values: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and target by _row_id, an Arrow batch at a time; the driver holds about ``values`` numbers, whatever the chunk."""
+    wanted = [F.col(quoted(c)).cast("double") for c in (*columns, engineering.TARGET)]
+    aligned = engineering.align(encoded, [ROW_ID, *columns, engineering.TARGET])
+    width = len(wanted)
+    placed = aligned.repartitionByRange(-(-rows * width // values), ROW_ID).sortWithinPartitions(ROW_ID)
+    filled = placed.select(F.array(*[F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for v in wanted]).alias("x"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).flatten().to_numpy().tobytes()], pa.binary())], ["x"])
+
+    for r in filled.mapInArrow(pack, "x binary").toLocalIterator():
+        both = np.frombuffer(r["x"]).reshape(-1, width)
+        yield both[:, :-1], both[:, -1]
+
+
 class PipelineRunner:
     def __init__(self, spark: SparkSession, config: PipelineConfig | None = None):
         self.spark, self.config = spark, config or PipelineConfig()
@@ -89,7 +109,7 @@ class PipelineRunner:
         }
 
     def _chunk(self, chunk: DataFrame, carried: list[float], held: list[DataFrame]) -> tuple[DataFrame, dict, list[float]]:
-        """Encoded chunk, seconds by stage (each stage is computed before the next), and the last salaries for the next chunk's windows."""
+        """Encoded chunk, whose _row_id is its order by year, seconds by stage (each stage is computed before the next), and the last salaries for the next chunk's windows."""
         seconds, began = {}, time.perf_counter()
 
         def lap(df: DataFrame, name: str) -> DataFrame:
@@ -100,13 +120,15 @@ class PipelineRunner:
             return df
 
         cleaned = lap(cleaning.clean(chunk), STAGES[0])
-        years = engineering.calendar_features(cleaned).withColumn("__new", F.lit(1))
-        before = self.spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(carried)], f"__new int, `{ROW_ID}` long, salary double")
-        window = W.partitionBy(F.lit(0)).orderBy("__new", "version_year", ROW_ID).rowsBetween(-4, 0)  # one bounded chunk
-        rolled = years.unionByName(before, allowMissingColumns=True).withColumns({"salary_roll_mean": F.avg("salary").over(window), "salary_roll_std": F.coalesce(F.stddev_pop("salary").over(window), F.lit(0.0))})
-        featured = engineering.zscore_anomaly(rolled.where("__new = 1"), "salary", by="__new").drop("__new")
+        years = engineering.calendar_features(cleaned).withColumnRenamed(ROW_ID, "_input_id")
+        place, past = F.col(ROW_ID), len(carried)
+        placed = with_ordinal(years, ["version_year", "_input_id"]).drop("_input_id").withColumn(ROW_ID, place + past)
+        before = self.spark.createDataFrame([(k, float(v)) for k, v in enumerate(carried)], f"`{ROW_ID}` long, salary double")
+        rolled = engineering.rolling(placed.unionByName(before, allowMissingColumns=True), engineering.TARGET, None, mode="stream")
+        held.append(rolled := rolled.where(place >= past).withColumn(ROW_ID, place - past).persist())
+        featured = engineering.zscore_anomaly(rolled, engineering.TARGET)
         featured = lap(featured, STAGES[1])
-        last = [r["salary"] for r in featured.orderBy(F.desc("version_year"), F.desc(ROW_ID)).select("salary").take(4)]
+        last = [r["salary"] for r in featured.orderBy(F.desc(ROW_ID)).select("salary").take(4)]
         pruned = lap(engineering.drop_collinear(featured), STAGES[2])
         encoded = lap(engineering.encode_and_scale(pruned), STAGES[3])
         return encoded, seconds, [*carried, *reversed(last)][-4:]
@@ -126,31 +148,36 @@ class PipelineRunner:
         before, began = telemetry.snapshot(), time.perf_counter()
 
         def handle(whole: DataFrame, state: dict) -> dict:
+            with scratch(self.spark):
+                return learn(whole, state)
+
+        def learn(whole: DataFrame, state: dict) -> dict:
             whole = whole.persist()
-            first, n, size_bytes = whole.agg(F.min(ROW_ID), F.count("*"), F.max("__bytes")).first()
+            first, n, files = whole.agg(F.min(ROW_ID), F.count("*"), F.collect_set("__file")).first()
+            size_bytes = sum(f["bytes"] for f in files)
             at = first
             while at < first + n:
                 step = state["size"]
                 held: list[DataFrame] = []
                 t0, mem0 = time.perf_counter(), telemetry.process_memory_mb()
-                part = whole.where((F.col(ROW_ID) >= at) & (F.col(ROW_ID) < at + step)).drop("__bytes")
+                part = whole.where((F.col(ROW_ID) >= at) & (F.col(ROW_ID) < at + step)).drop("__file")
                 encoded, seconds, state["carried"] = self._chunk(part, state["carried"], held)
                 columns = state["columns"] = state["columns"] or feature_names(encoded)
-                local = engineering.align(encoded, [*columns, engineering.TARGET]).toPandas().astype(float).fillna(0.0)  # one bounded chunk
-                x, y = local[columns].to_numpy(), local[engineering.TARGET].to_numpy()
-                model = OnlineLinear(len(columns), **state["model"])
-                if state["chunks"]:
-                    state["squares"] += float(np.square(model.predict(x) - y).sum())
-                    state["judged"] += len(y)
-                model.partial_fit(x, y)
+                model, known, learned = OnlineLinear(len(columns), **state["model"]), OnlineLinear(len(columns), **state["model"]), 0
+                for x, y in in_order(encoded, columns, min(step, first + n - at)):
+                    if state["chunks"]:
+                        state["squares"] += float(np.square(known.predict(x) - y).sum())
+                        state["judged"] += len(y)
+                    model.partial_fit(x, y)
+                    learned += len(y)
                 state["model"] = {"weights": model.w.tolist(), "bias": float(model.b), "seen": model.t}
                 spent, mem1 = time.perf_counter() - t0, telemetry.process_memory_mb()
                 number = len(state["chunks"]) + 1
                 paths = sinks.spill_chunk(engineering.align(encoded, columns), encoded.select(engineering.TARGET), str(c.output_dir / "intermediate"), number) if c.spill_to_disk else {}
-                read = int(size_bytes * len(y) / n)
+                read = int(size_bytes * learned / n)
                 state["chunks"].append(
                     {
-                        "chunk_id": number, "rows": len(y), "latency_s": spent, "throughput_rows_s": len(y) / max(spent, 1e-9), "batch_size": batch, "chunk_size": step, "memory_before_mb": mem0, "memory_after_mb": mem1,
+                        "chunk_id": number, "rows": learned, "latency_s": spent, "throughput_rows_s": learned / max(spent, 1e-9), "batch_size": batch, "chunk_size": step, "memory_before_mb": mem0, "memory_after_mb": mem1,
                         "memory_exceeded": mem1 > memory, "retries": state["retries"], "spill_paths": paths, "operator_profile_s": seconds, "input_bytes": read, "estimated_input_bandwidth_mb_s": read / 2**20 / max(spent, 1e-9),
                     }
                 )

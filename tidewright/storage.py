@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder where that is unset, on one machine."""
@@ -55,9 +59,26 @@ def read_json(spark: SparkSession, path: str):
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that this thread has ``stored`` inside are removed at its end, not at the end of the process."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            remove(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage ends there, and its partition numbers hold."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    paths = getattr(_scope, "paths", None)
+    if paths is not None:
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     df.write.parquet(path)
 
     def clean() -> None:
