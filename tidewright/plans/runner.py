@@ -60,7 +60,7 @@ class OnlineLinear:
             self.b -= step * error
 
 
-def in_order(encoded: DataFrame, columns: list[str], rows: int, values: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_order(encoded: DataFrame, columns: list[str], rows: int, values: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features and target by _row_id, an Arrow batch at a time; the driver holds about ``values`` numbers, whatever the chunk."""
     wanted = [F.col(quoted(c)).cast("double") for c in (*columns, engineering.TARGET)]
     aligned = engineering.align(encoded, [ROW_ID, *columns, engineering.TARGET])
